@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,19 +53,23 @@ def map_batches(df: DataFrame, fn: Callable[[list], dict[str, list]], columns: l
     return df.select(*[F.col(c) for c in columns]).mapInArrow(run, schema)
 
 
-def _arrow_schema(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+_HELD: dict[str, object] = {}
 
-    return to_arrow_schema(StructType.fromDDL(schema))
 
+def on_workers(spark: SparkSession, value: object, build: Callable[[object], object]) -> Callable[[], object]:
+    """Broadcast a value of fixed size; the result gives ``build(value)``, made once in each worker process."""
+    sent, key = spark.sparkContext.broadcast(pickle.dumps(value)), uuid.uuid4().hex
+
+    def get() -> object:
+        if key not in _HELD:
+            _HELD.clear()
+            _HELD[key] = build(pickle.loads(sent.value))
+        return _HELD[key]
+
+    return get
 
-def json_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small driver-made table as a JVM-side relation (bounded by its caller)."""
-    import json
 
-    text = json.dumps(rows)
-    return (
-        spark.range(1, numPartitions=1)
-        .select(F.explode(F.from_json(F.lit(text), f"array<struct<{schema}>>")).alias("r"))
-        .select("r.*")
-    )
+def _arrow_schema(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(StructType.fromDDL(schema))
