@@ -98,6 +98,12 @@ SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS contain
 FROM m JOIN n USING (item_id) WHERE shared >= 0.8 * item_shingles
 """
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm import substring_dedup
+
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ring_shards": op2_ring_shards,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op9_decontamination": OP9_SQL}
