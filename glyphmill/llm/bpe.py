@@ -17,6 +17,8 @@ from array import array
 from heapq import heappop, heappush
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -166,13 +168,18 @@ def _prepared(df: DataFrame, ranks_path: str, pattern: str | None):
     return lambda: _coder(key, shared.value, pattern)
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *[len(x) // 4 for x in ids]], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ids array<int>``: the ids of each whole text."""
     coder = _prepared(df, ranks_path, pattern)
 
     def run(ids: list, texts: list) -> dict[str, list]:
         bpe = coder()
-        return {"id": ids, "ids": [array("I", bpe.encode(t or "")).tolist() for t in texts]}
+        return {"id": ids, "ids": _lists([bpe.encode(t or "") for t in texts])}
 
     kind = dict(df.dtypes)[id_col]
     return map_batches(df, run, [id_col, text_col], f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -190,10 +197,16 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
     return map_batches(df, run, [id_col, ids_col], f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass over the text: counts and digests of the ids and of the decoded bytes.
-
-    No shuffle, and no array of ids leaves the worker.
+def round_trip(
+    df: DataFrame,
+    ranks_path: str,
+    pattern: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = False,
+) -> DataFrame:
+    """Encode and decode in one pass over the text, without a shuffle: ``id, n_tokens, ids_sha256, decoded_sha256,
+    n_bytes``: counts and digests of the ids and of the decoded bytes, and ``ids array<int>`` if asked for.
     """
     coder = _prepared(df, ranks_path, pattern)
 
@@ -201,7 +214,8 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str | None = None, id_co
         bpe = coder()
         ids = [bpe.encode(t or "") for t in texts]
         back = [bpe.decode(x) for x in ids]
-        return {
+        more = {"ids": _lists(ids)} if with_ids else {}
+        return more | {
             "id": keys,
             "n_tokens": [len(x) // 4 for x in ids],
             "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
@@ -210,5 +224,5 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str | None = None, id_co
         }
 
     kind = dict(df.dtypes)[id_col]
-    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint"
+    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint" + ", ids array<int>" * with_ids
     return map_batches(df, run, [id_col, text_col], schema).withColumnRenamed("id", id_col)

@@ -48,11 +48,25 @@ def map_batches(df: DataFrame, fn: Callable[[list], dict[str, list]], columns: l
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.select(*[F.col(c) for c in columns]).mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, keep: Callable[[list], list[bool]], column: str) -> DataFrame:
+    """Rows, with all their columns, for which ``keep(values of the column)`` is true; in place, without a shuffle."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 _HELD: dict[str, object] = {}
 
 
@@ -69,6 +83,10 @@ def on_workers(spark: SparkSession, value: object, build: Callable[[object], obj
     return get
 
 
+def _column(values: list | pa.Array, kind: pa.DataType) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

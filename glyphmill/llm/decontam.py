@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import map_batches, on_workers
+from glyphmill.llm.common import filter_batches, map_batches, on_workers
 
 BLOCK_CHARS = 32_000_000
 WORD_CACHE = 300_000
@@ -47,17 +48,21 @@ class WordHashes:
     def __init__(self, size: int) -> None:
         self.size, self.known = size, {}
 
-    def __call__(self, toks: list[str]) -> np.ndarray:
-        known, size = self.known, self.size
+    def __call__(self, toks: list) -> np.ndarray:
+        return self.combine(self.of(toks), self.size)
+
+    def of(self, toks: list) -> np.ndarray:
+        """Hashes of the words (strings or bytes)."""
+        known = self.known
         if len(known) > WORD_CACHE:
             known.clear()
         one = []
         for w in toks:
             h = known.get(w)
             if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w.encode())
+                h = known[w] = xxhash.xxh64_intdigest(w)
             one.append(h)
-        return self.combine(np.array(one, np.uint64), size)
+        return np.array(one, np.uint64)
 
     @staticmethod
     def combine(h: np.ndarray, size: int) -> np.ndarray:
@@ -105,27 +110,27 @@ class SketchIndex:
         return [i for i, n in sorted(hits.items()) if n >= self.items[i][2]]
 
 
-def _block(docs: DataFrame, items: list[tuple], threshold: float, size: int, id_col: str, text_col: str, item_type: str) -> DataFrame:
-    load = on_workers(docs.sparkSession, items, lambda x: (SketchIndex(x, threshold, size), WordHashes(size)))
+def _verified(index: SketchIndex, hashes: WordHashes, text: str | None, threshold: float) -> list[tuple]:
+    """``(item, its shingles, shared)`` for every item that the text holds."""
+    toks, rows = words(text), []
+    if found := index.candidates(hashes(toks)):
+        own = shingles(toks, hashes.size)
+        for i in found:
+            item, exact, _ = index.items[i]
+            both = len(exact & own)
+            if both >= threshold * len(exact) - 1e-9:
+                rows.append((item, len(exact), both))
+    return rows
 
-    def run(ids: list, texts: list) -> dict[str, list]:
-        index, hashes = load()
-        rows: list[tuple] = []
-        for key, text in zip(ids, texts, strict=True):
-            toks = words(text)
-            if found := index.candidates(hashes(toks)):
-                own = shingles(toks, size)
-                for i in found:
-                    item, exact, _ = index.items[i]
-                    both = len(exact & own)
-                    if both >= threshold * len(exact) - 1e-9:
-                        rows.append((key, item, len(exact), both, both / len(exact)))
-        names = ("id", "item", "item_shingles", "shared", "containment")
-        return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in names}
-
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, item {item_type}, item_shingles bigint, shared bigint, containment double"
-    return map_batches(docs, run, [id_col, text_col], schema)
+
+def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """The items, at most about BLOCK_CHARS characters at a time."""
+    slim = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
+    chars = slim.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = math.ceil(chars / BLOCK_CHARS) or 1
+    for b in range(blocks):
+        part = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+        yield [(r["item"], r["text"]) for r in part.collect()]
 
 
 def search(
@@ -139,13 +144,42 @@ def search(
     item_text_col: str = "text",
 ) -> DataFrame:
     """``id, item, item_shingles, shared, containment`` for each document that holds at least ``threshold`` of an item."""
-    slim = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    chars = slim.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = math.ceil(chars / BLOCK_CHARS) or 1
-    item_type, found = dict(items.dtypes)[item_col], None
-    for b in range(blocks):
-        part = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        rows = [(r["item"], r["text"]) for r in part.collect()]
-        hits = _block(docs, rows, threshold, shingle, id_col, text_col, item_type)
+    kind, item_type, found = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_col], None
+    schema = f"id {kind}, item {item_type}, item_shingles bigint, shared bigint, containment double"
+    names = ("id", "item", "item_shingles", "shared", "containment")
+    for block in _blocks(items, item_col, item_text_col):
+        load = on_workers(docs.sparkSession, block, lambda x: (SketchIndex(x, threshold, shingle), WordHashes(shingle)))
+
+        def run(ids: list, texts: list, load=load) -> dict[str, list]:
+            index, hashes = load()
+            rows = [
+                (key, item, n, both, both / n)
+                for key, text in zip(ids, texts, strict=True)
+                for item, n, both in _verified(index, hashes, text, threshold)
+            ]
+            return {name: [r[i] for r in rows] for i, name in enumerate(names)}
+
+        hits = map_batches(docs, run, [id_col, text_col], schema)
         found = hits if found is None else found.unionByName(hits)
     return found.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
+
+
+def keep_clean(
+    docs: DataFrame,
+    items: DataFrame,
+    threshold: float = 0.8,
+    shingle: int = 5,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The documents, with all their columns, that hold no item."""
+    for block in _blocks(items, item_col, item_text_col):
+        load = on_workers(docs.sparkSession, block, lambda x: (SketchIndex(x, threshold, shingle), WordHashes(shingle)))
+
+        def keep(texts: list, load=load) -> list[bool]:
+            index, hashes = load()
+            return [not _verified(index, hashes, t, threshold) for t in texts]
+
+        docs = filter_batches(docs, keep, text_col)
+    return docs

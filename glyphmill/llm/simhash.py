@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import checkpointed, map_batches
 from glyphmill.llm.components import components
+from glyphmill.llm.decontam import WordHashes
 
 GROUP_ROWS = 2048
 LEAF, FAN = 32, 8
@@ -292,3 +293,66 @@ def near_duplicates(df: DataFrame, shingle: int = 4, max_bits: int = 4, id_col:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+# --- filtering by similarity ------------------------------------------------------------------------------------------
+
+TABLES = 8
+
+
+def _signature(toks: list[bytes], hashes: WordHashes) -> list[int]:
+    """TABLES fingerprints of the word pairs, each under hashes of its own."""
+    pairs = hashes.combine(hashes.of(toks), 2)
+    out = []
+    for t in range(TABLES):
+        with np.errstate(over="ignore"):
+            h = (pairs + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(signed(majority_bits(h ^ (h >> np.uint64(31)))))
+    return out
+
+
+def signatures(df: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
+    """``node, sig array<bigint>, parts array<int>``: a row's hash, its fingerprints and its distinct shingles' hashes."""
+    rows = df.select(F.col("node"), F.col(text_col).alias("text"))
+    hashes = WordHashes(shingle)
+
+    def run(nodes: list, texts: list) -> dict[str, list]:
+        toks = [words(t) for t in texts]
+        parts = [np.unique(hashes(x).view(np.uint32)[::2]).view(np.int32) for x in toks]
+        ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
+        return {"node": nodes, "sig": [_signature(x, hashes) for x in toks], "parts": lists}
+
+    return map_batches(rows, run, ["node", "text"], "node bigint, sig array<bigint>, parts array<int>")
+
+
+def keep_one(
+    df: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row, with all its columns, of each group of near duplicates.
+
+    Rows are near duplicates when their shingle sets have at least this Jaccard similarity. Candidates are rows that
+    any of TABLES fingerprints puts within ``max_bits`` of each other, by way of the index; the exact similarity of
+    the shingle sets decides. Fingerprints of word pairs move less under an edit than those of longer shingles, and
+    several of them find what one misses. Rows that repeat id and text stay or go together; wordless texts have no
+    shingles and always stay.
+    """
+    node = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    marked = df.withColumn("node", node)
+    rows = checkpointed(signatures(marked, shingle, text_col).where(F.size("parts") > 0))
+    points = rows.select("node", F.posexplode("sig").alias("t", "fp"))
+    by = checkpointed(points.groupBy("t", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
+    same = points.join(by.where("n > 1"), ["t", "fp"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    linked = forest(by.select("t", "fp"), max_bits)
+    for side in ("a", "b"):
+        other = by.select("t", F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"))
+        linked = linked.join(other, ["t", side])
+    pairs = same.unionByName(linked.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).where("a <> b")
+    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}")), side)
+    both = F.size(F.array_intersect("parts_a", "parts_b"))
+    near = pairs.where(both >= similarity * (F.size("parts_a") + F.size("parts_b") - both) - F.lit(1e-9))
+    gone = components(near.select("a", "b")).select("node")
+    return marked.join(gone, "node", "left_anti").select(*[F.col(c) for c in df.columns])

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import map_batches, on_workers
+from glyphmill.llm.common import filter_batches, map_batches, on_workers
 
 MAX_DOCS = 1500
 WINDOW, STRIDE = 16, 12
@@ -341,6 +341,17 @@ def score(df: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "do
     return map_batches(df, run, [id_col, text_col], f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
+def keep_clean(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score under the threshold."""
+    load = on_workers(df.sparkSession, model, Scorer)
+
+    def keep(texts: list) -> list[bool]:
+        scorer = load()
+        return [v < threshold for at in range(0, len(texts), 64) for v in scorer(texts[at : at + 64])]
+
+    return filter_batches(df, keep, text_col)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The third of the ids whose labels are never learnt."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
