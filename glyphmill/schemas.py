@@ -1,0 +1,11 @@
+"""Schemas of the engine's tables, as DDL."""
+
+WORDS = "lang string, word string, word_key string, len int"
+TOKENS = "doc_id bigint, idx int, token string, pos int, len int"
+STEMS = "stem string, flags array<string>, morph array<string>, alt array<string>"
+AFFIXES = "kind string, flag string, cross boolean, strip string, add string, add_len int, cond string, flags array<string>"
+SUGGESTIONS = "query string, word string, distance int, confidence double, source string, ngram double"
+ERRORS = "doc_id bigint, rule_id string, pos int, original string, message string, suggestions array<string>"
+FREQUENCIES = "lang string, word string, bonus int"
+KEYBOARD = "layout string, key string, row int, col int"
+CATALOG = "code string, name string, language string, region string, format string, license string, word_count bigint"
