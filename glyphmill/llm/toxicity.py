@@ -21,6 +21,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -149,7 +150,7 @@ def _windows(n: int) -> np.ndarray:
     return at
 
 
-def _odds(docs: list[set[str]], labels: list[int], most: int) -> dict[str, tuple[int, float]]:
+def _odds(docs: Iterable[set[str]], labels: list[int], most: int) -> dict[str, tuple[int, float]]:
     """Index and clipped log-odds of what occurs in at least MIN_DOCS documents and differs by LEAST_Z deviations."""
     sides, totals = (Counter(), Counter()), [0, 0]
     for own, y in zip(docs, labels, strict=True):
@@ -174,8 +175,8 @@ def fit(texts: list[str], labels: list[int], share: float, rounds: int = 8, seed
         return model
     rng, nrng = random.Random(seed), np.random.default_rng(seed)
     toks = [words(t) for t in texts]
-    model.words = _odds([set(x) for x in toks], labels, VOCAB)
-    model.grams = _odds([{g for w in set(x) for g in grams(w)} for x in toks], labels, GRAMS)
+    model.words = _odds((set(x) for x in toks), labels, VOCAB)
+    model.grams = _odds(({g for w in set(x) for g in grams(w)} for x in toks), labels, GRAMS)
     width, h3 = 4 + 2 * EMBED, 3 * HIDDEN
     init = lambda *s: (nrng.standard_normal(s) * 0.3).astype(np.float32)
     model.p = {
