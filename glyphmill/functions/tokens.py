@@ -126,10 +126,14 @@ def _protected(text: Column, holds: list[tuple[str, str]], separators: str) -> C
         text = F.regexp_replace(text, pattern, f"$1{chr(0xE000 + i)}$2")
     out = _split(text, separators)
     for i, (_, char) in enumerate(holds):
-        out = F.transform(out, lambda x, i=i, char=char: F.replace(x, F.lit(chr(0xE000 + i)), F.lit(char)))
+        out = F.transform(out, _shown(chr(0xE000 + i), char))
     return out
 
 
+def _shown(stand_in: str, char: str):
+    return lambda x: F.replace(x, F.lit(stand_in), F.lit(char))
+
+
 _MARKS = r"[\s.,;:!?¡¿()\[\]{}\"«»…]+"
 
 

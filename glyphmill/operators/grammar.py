@@ -5,9 +5,11 @@ Results are rows ``doc_id, rule_id, pos, context, suggestion, message``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,10 +155,21 @@ def _phrase_at(i: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(_low(i + k) == w, F.lit(False)) for k, w in enumerate(words)])
 
 
-def phrase(rows: DataFrame, rule: Rule) -> DataFrame:
-    words = rule.params["phrase"].split()
-    context = lambda i: F.array_join(F.slice("toks", i + 1, len(words)), " ")
-    return _hits(rows, rule, lambda i: _phrase_at(i, words), context, lambda i: F.lit(rule.suggestion))
+def phrases(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """All phrase rules in one pass: places where a phrase may begin, then the phrases that do."""
+    split = [(r, r.params["phrase"].split()) for r in rules]
+    starts = sorted({w[0] for _, w in split})
+    some = rows.withColumn("i", F.explode(F.filter(_places(), lambda i: _low(i).isin(*starts))))
+    i = F.col("i")
+    found = [
+        F.when(
+            _phrase_at(i, w),
+            F.struct(F.lit(r.id).alias("rule_id"), F.array_join(F.slice("toks", i + 1, len(w)), " ").alias("context"), F.lit(r.suggestion).alias("suggestion"), F.lit(r.message).alias("message")),
+        )
+        for r, w in split
+    ]
+    hit = some.withColumn("r", F.explode(F.array_compact(F.array(*found))))
+    return hit.select("doc_id", "r.rule_id", T.offset(i).cast("bigint").alias("pos"), "r.context", "r.suggestion", "r.message")
 
 
 def words(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -179,36 +192,52 @@ def is_negative(word: Column) -> Column:
     return word.isin(*NEGATIVES) | word.endswith("n't")
 
 
+def _regions(toks: list[str], text: str) -> list[tuple[int, int]]:
+    """Ranges of token places that an excepted phrase covers, up to its far end for "head...tail"."""
+    head, dots, tail = text.partition("...")
+    first, last = head.split(), tail.split()
+    at = lambda i, words: toks[i : i + len(words)] == words
+    out = []
+    for i in range(len(toks)):
+        if at(i, first):
+            if not dots:
+                out.append((i, i + len(first)))
+            elif (close := next((j for j in range(i + len(first), len(toks)) if at(j, last)), None)) is not None:
+                out.append((i, close + len(last)))
+    return out
+
+
 def negative(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Two negatives in a row, no further apart than the distance in characters, outside the excepted phrases."""
-    places = _places()
-    regions = F.array().cast("array<struct<a:int,b:int>>")
-    for text in rule.params["exceptions"]:
-        if "..." in text:
-            head, tail = (x.split() for x in text.split("...", 1))
-            if not head or not tail:
-                continue
-            close = lambda i, head=head, tail=tail: F.get(F.filter(places, lambda j: (j >= i + len(head)) & _phrase_at(j, tail)), 0)
-            own = F.transform(F.filter(places, lambda i, head=head: _phrase_at(i, head)), lambda i, tail=tail: F.struct(i.alias("a"), (close(i) + len(tail)).alias("b")))
-            regions = F.concat(regions, F.filter(own, lambda r: r["b"].isNotNull()))
-        else:
-            lit = text.split()
-            own = F.transform(F.filter(places, lambda i, lit=lit: _phrase_at(i, lit)), lambda i, lit=lit: F.struct(i.alias("a"), (i + len(lit)).alias("b")))
-            regions = F.concat(regions, own)
-    some = rows.withColumn("neg", F.filter(places, lambda i: is_negative(_low(i)))).where(F.size("neg") >= 2)
-    some = some.withColumn("regions", regions)
-    some = some.withColumn("neg", F.filter("neg", lambda i: ~F.exists("regions", lambda r: (i >= r["a"]) & (i < r["b"])))).where(F.size("neg") >= 2)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("neg") - 1), lambda k: F.struct(F.get("neg", k - 1).alias("i"), F.get("neg", k).alias("j")))
-    out = some.withColumn("p", F.explode(pairs)).select("*", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
-    out = out.withColumn("pos", T.offset(F.col("i")).cast("bigint")).where(T.offset(F.col("j")) - F.col("pos") <= rule.params["distance"])
-    return out.select(
-        "doc_id", F.lit(rule.id).alias("rule_id"), "pos", F.array_join(F.slice("toks", F.col("i") + 1, F.col("j") - F.col("i") + 1), " ").alias("context"),
-        F.lit(rule.suggestion).alias("suggestion"), F.lit(rule.message).alias("message"),
-    )
+    """Two negatives in a row, no further apart than the distance in characters, outside the excepted phrases.
+
+    Texts with fewer than two negatives never leave the JVM; the others are walked once each.
+    """
+    some = rows.where(F.size(F.filter("toks", lambda w: is_negative(F.lower(w)))) >= 2)
+    most, exceptions = rule.params["distance"], rule.params["exceptions"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, toks, gaps in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                low = [t.lower() for t in toks]
+                places, pos = [], 0
+                for t, g in zip(toks, gaps, strict=False):
+                    places.append(pos + len(g))
+                    pos += len(g) + len(t)
+                regions = [r for text in exceptions for r in _regions(low, text)]
+                found = [i for i, w in enumerate(low) if w in NEGATIVES or w.endswith("n't")]
+                found = [i for i in found if not any(a <= i < b for a, b in regions)]
+                out += [(doc, places[i], " ".join(toks[i : j + 1])) for i, j in zip(found, found[1:], strict=False) if places[j] - places[i] <= most]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())], ["doc_id", "pos", "context"]
+            )
+
+    hits = some.select("doc_id", "toks", "gaps").mapInArrow(run, "doc_id bigint, pos bigint, context string")
+    return hits.select("doc_id", F.lit(rule.id).alias("rule_id"), "pos", "context", F.lit(rule.suggestion).alias("suggestion"), F.lit(rule.message).alias("message"))
 
 
 MATCHERS = {
-    "vowel": vowel, "there": there, "contraction": contraction, "phrase": phrase, "words": words, "sentence": sentence, "negative": negative,
+    "vowel": vowel, "there": there, "contraction": contraction, "words": words, "sentence": sentence, "negative": negative,
 }
 
 
@@ -222,7 +251,10 @@ def prepare(docs: DataFrame, tags: Column | None = None) -> DataFrame:
 def check(docs: DataFrame, rules: tuple[Rule, ...] = ENGLISH, tags: Column | None = None) -> DataFrame:
     """All rules over all documents."""
     rows = prepare(docs, tags)
-    return reduce(DataFrame.unionByName, [MATCHERS[r.kind](rows, r) for r in rules])
+    parts = [MATCHERS[r.kind](rows, r) for r in rules if r.kind != "phrase"]
+    if fixed := [r for r in rules if r.kind == "phrase"]:
+        parts.append(phrases(rows, fixed))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- other languages --------------------------------------------------------------------------------------------------

@@ -122,19 +122,36 @@ def phonetic(queries: DataFrame, words: DataFrame, algorithm: str = "soundex", m
     return _suggestions(near.withColumn("distance", F.lit(1)), "phonetic")
 
 
-def ngram(queries: DataFrame, words: DataFrame, n: int = 3, least: float = 0.3, min_similarity: float = 0.70) -> DataFrame:
-    """Words whose bags of n-grams overlap, by an inverted index; equal bags are left out."""
-    def bags(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        g = df.select("lang", name, F.explode(S.grams(F.col(name), n)).alias("gram")).groupBy("lang", name, "gram").agg(F.count(F.lit(1)).alias(f"n_{name}"))
-        return g, F.greatest(F.length(name) - (n - 1), F.lit(0))
+def _bag(word: Column, n: int) -> Column:
+    """A word's n-grams as a set of hashes, the second of two equal ones told from the first."""
+    g = S.grams(word, n)
+    return F.transform(g, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(g, 1, i), lambda y: y == x))))
+
 
-    q, q_size = bags(queries, "query")
-    w, w_size = bags(words, "word")
-    both = q.join(w, ["lang", "gram"]).groupBy("lang", "query", "word").agg(F.sum(F.least("n_query", "n_word")).alias("shared"))
-    jaccard = F.col("shared") / (q_size + w_size - F.col("shared"))
-    rows = both.where("query <> word").withColumn("jaccard", jaccard).where(F.col("jaccard") >= least)
-    rows = rows.where(S.similarity(F.col("query"), F.col("word")) >= min_similarity)
-    return _suggestions(rows.withColumn("distance", F.floor(F.round((1 - F.col("jaccard")) * 10, 9)).cast("int")).where("distance > 0"), "ngram")
+def ngram(queries: DataFrame, words: DataFrame, n: int = 3, least: float = 0.3, min_similarity: float = 0.70) -> DataFrame:
+    """Words whose bags of n-grams overlap, by an inverted index; equal bags are left out.
+
+    Overlapping bags share one of their rarer grams: only so many of the rarest as the least overlap leaves open are
+    joined, so a gram that most words have brings no pairs.
+    """
+    w_bag = words.select("lang", "word", _bag(F.col("word"), n).alias("w_bag")).where(F.size("w_bag") > 0)
+    q_bag = queries.select("lang", "query", _bag(F.col("query"), n).alias("q_bag")).where(F.size("q_bag") > 0)
+    rare = w_bag.select("lang", F.explode("w_bag").alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefix(df: DataFrame, name: str, bag: str) -> DataFrame:
+        each = df.select("lang", name, F.explode(bag).alias("gram")).join(rare, ["lang", "gram"], "left")
+        order = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))
+        ranked = each.groupBy("lang", name).agg(order.alias("grams"))
+        keep = F.size("grams") - F.ceil(least * F.size("grams") - 1e-9) + 1
+        return ranked.select("lang", name, F.explode(F.slice("grams", F.lit(1), keep.cast("int"))["gram"]).alias("gram"))
+
+    pairs = prefix(q_bag, "query", "q_bag").join(prefix(w_bag, "word", "w_bag"), ["lang", "gram"]).select("lang", "query", "word").distinct()
+    rows = pairs.where("query <> word").where(S.similarity(F.col("query"), F.col("word")) >= min_similarity)
+    rows = rows.join(q_bag, ["lang", "query"]).join(w_bag, ["lang", "word"])
+    shared = F.size(F.array_intersect("q_bag", "w_bag"))
+    rows = rows.withColumn("jaccard", shared / (F.size("q_bag") + F.size("w_bag") - shared)).where(F.col("jaccard") >= least)
+    distance = F.floor(F.round((1 - F.col("jaccard")) * 10, 9)).cast("int")
+    return _suggestions(rows.withColumn("distance", distance).where("distance > 0"), "ngram")
 
 
 def _swaps(word: Column) -> Column:
@@ -147,21 +164,26 @@ def _swaps(word: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _at(keys: Column, distance: int) -> Column:
+    return F.transform(keys, lambda x: F.struct(x.alias("key"), F.lit(distance).alias("d")))
+
+
 def symspell(queries: DataFrame, words: DataFrame, most: int = 2) -> DataFrame:
     """Deletion index: words by their single deletions and swaps, probed with the query's deletions and swaps."""
     low = F.lower("word")
-    index = words.select("lang", low.alias("word"), F.explode(F.array_distinct(F.concat(deletions(low), _swaps(low)))).alias("key")).where("key <> ''").where("key <> word").distinct()
+    folded = words.select("lang", low.alias("word"))
+    keys = F.array_distinct(F.concat(deletions(F.col("word")), _swaps(F.col("word"))))
+    index = folded.withColumn("key", F.explode(keys)).where("key <> ''").where("key <> word").distinct()
     q = F.lower("query")
     level, seen = [F.array(q)], F.array(q)
     for _ in range(most):
         step = F.array_except(F.array_distinct(F.flatten(F.transform(level[-1], deletions))), seen)
         level.append(F.filter(step, lambda x: x != ""))
         seen = F.concat(seen, level[-1])
-    steps = [F.transform(level[0], lambda x: F.struct(x.alias("key"), F.lit(1).alias("d"))), F.transform(_swaps(q), lambda x: F.struct(x.alias("key"), F.lit(1).alias("d")))]
-    steps += [F.transform(level[i], lambda x, i=i: F.struct(x.alias("key"), F.lit(i + 1).alias("d"))) for i in range(1, most + 1)]
+    steps = [_at(level[0], 1), _at(_swaps(q), 1), *[_at(level[i], i + 1) for i in range(1, most + 1)]]
     probes = queries.select("lang", "query", F.explode(F.concat(*steps)).alias("p")).select("lang", "query", "p.key", "p.d")
     from_index = probes.join(index, ["lang", "key"]).select("lang", "query", "word", F.col("d").alias("distance"))
-    exact = queries.select("lang", "query", F.explode(F.concat(*[F.transform(level[i], lambda x, i=i: F.struct(x.alias("key"), F.lit(i).alias("d"))) for i in range(1, most + 1)])).alias("p"))
+    exact = queries.select("lang", "query", F.explode(F.concat(*[_at(level[i], i) for i in range(1, most + 1)])).alias("p"))
     direct = exact.select("lang", "query", F.col("p.key").alias("word"), F.col("p.d").alias("distance")).join(words.select("lang", low.alias("word")).distinct(), ["lang", "word"], "left_semi")
     found = from_index.unionByName(direct.select("lang", "query", "word", "distance")).where(F.lower("query") != F.col("word"))
     return _suggestions(found.groupBy("lang", "query", "word").agg(F.min("distance").alias("distance")), "symspell")
