@@ -40,7 +40,7 @@ class DigestIndex:
         location = (
             self.spark.sql(f"DESCRIBE FORMATTED {self.table}").where("col_name = 'Location'").first()["data_type"]
         )
-        return self.spark.read.parquet(location)
+        return self.spark.read.schema(self.read().schema).parquet(location)
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of the batch (distinct digests) that the index does not hold."""

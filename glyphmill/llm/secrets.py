@@ -84,18 +84,19 @@ def p_value(token: str) -> float:
     chi = size / n * sum(v * v for v in counts.values()) - n
     mean, var = (size - 1) + n * uneven, 2 * (size - 1 + 2 * n * uneven)
     tests = [_normal_cdf((chi - mean) / math.sqrt(var))]
-    if name not in ("letters", "decimal"):
-        kinds = [_kind(c) for c in token]
+    core = [c for c in token if c.isalnum()]  # separators join words, they say nothing about order
+    kinds = [_kind(c) for c in core]
+    if len(set(kinds)) > 1 and len(core) > 4:
         switches = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-        tests.append(_binomial_tail(n - 1, TEXT_SWITCH, switches))
-    place = {c: i for i, c in enumerate(alphabet)}
-    codes = [place[c] for c in token]
-    mid = sum(codes) / n
-    spread = sum((c - mid) ** 2 for c in codes)
-    serial = sum((a - mid) * (b - mid) for a, b in zip(codes, codes[1:], strict=False)) / spread if spread else 1.0
-    serial = max(-0.999, min(0.999, serial))
-    tests.append(_normal_cdf((math.atanh(serial) - math.atanh(TEXT_SERIAL)) * math.sqrt(n - 3)))
-    if name == "letters":  # words alternate vowels and consonants, so these two say little about letters alone
+        tests.append(_binomial_tail(len(core) - 1, TEXT_SWITCH, switches))
+        place = {c: i for i, c in enumerate(alphabet)}
+        codes = [place[c] for c in core]
+        mid = sum(codes) / len(core)
+        spread = sum((c - mid) ** 2 for c in codes)
+        serial = sum((a - mid) * (b - mid) for a, b in zip(codes, codes[1:], strict=False)) / spread if spread else 1.0
+        serial = max(-0.999, min(0.999, serial))
+        tests.append(_normal_cdf((math.atanh(serial) - math.atanh(TEXT_SERIAL)) * math.sqrt(len(core) - 3)))
+    elif name != "decimal":  # letters of one case: words alternate vowels and consonants, so order says little
         tests = [max(tests[0], 0.05), 1.0]
     joined = sum(math.tan((0.5 - min(max(p, 1e-15), 1 - 1e-15)) * math.pi) for p in tests) / len(tests)
     return min(1.0, max(1e-15, 0.5 - math.atan(joined) / math.pi if joined < 1e6 else 1 / (joined * math.pi)))
