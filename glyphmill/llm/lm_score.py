@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import BATCH_ROWS, checkpointed, map_batches, on_workers
 
-SIDE, HIDDEN, CLASSES = 2, 16, 64
+SIDE, HIDDEN, CLASSES = 2, 16, 32
 VOCAB, CONTEXT, SHAPES = 20_000, 2_000, 32
 START_DOCS = 64
-FLUSH_WORDS = 100_000
+FLUSH_WORDS, MEMO_WORDS = 200_000, 400_000
 CHUNK = 2_048
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 
@@ -60,47 +60,68 @@ class Lexicon:
             mass += n
         for i, ((w, n), c) in enumerate(zip(top, of, strict=True)):
             self.known[w] = (1 + SHAPES + i if i < CONTEXT else 1 + _shape(w), c, math.log(n / sums[c]))
-        first: Counter = Counter()
-        for (a, _), n in pairs.items():
-            first[a] += n
-        self.pairs = {p: math.log((n + 0.5) / (first[p[0]] + 128.5)) for p, n in pairs.items()}
-        self.unseen = {a: math.log(0.5 / (n + 128.5)) for a, n in first.items()}
-        self.never = math.log(1 / 257)
+        counts = np.zeros((257, 257))
+        for (x, y), n in pairs.items():
+            counts[x, y] = n
+        self.pairs = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 128.5)).ravel()
+
+    def spell(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of the words' bytes and ends; 256 marks both ends."""
+        data = [w.encode() for w in words]
+        codes = np.frombuffer(b"\xff" + b"\xff".join(data) + b"\xff", np.uint8).astype(np.int64)
+        codes[codes == 255] = 256  # a byte that UTF-8 never has
+        each = self.pairs[codes[:-1] * 257 + codes[1:]]
+        return np.add.reduceat(each, np.cumsum([0, *[len(d) + 1 for d in data[:-1]]]))
+
+    def look_up(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """Context id, class and log-probability within the class of each word."""
+        out = [self.known.get(w) for w in words]
+        if open_ := [i for i, x in enumerate(out) if x is None]:
+            for i, value in zip(open_, self.spell([words[i] for i in open_]).tolist(), strict=True):
+                out[i] = (1 + _shape(words[i]), CLASSES - 1, value)
+        return out
+
 
-    def spell(self, word: str) -> float:
-        """Log-probability of a word's bytes and its end; 256 marks both ends."""
-        data = [256, *word.encode(), 256]
-        return sum(self.pairs.get(p, self.unseen.get(p[0], self.never)) for p in zip(data, data[1:], strict=False))
+class _Memo(dict):
+    """Number of each word; a new word gets the next one and is noted."""
 
-    def look_up(self, word: str) -> tuple[int, int, float]:
-        found = self.known.get(word)
-        return found if found is not None else (1 + _shape(word), CLASSES - 1, self.spell(word))
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self) + 1  # 0 pads
+        self.fresh.append(word)
+        return at
 
 
 class Encoder:
     """Tokens to context ids, classes and within-class log-probabilities, remembering words."""
 
     def __init__(self, lexicon: Lexicon) -> None:
-        self.lexicon, self.memo = lexicon, {}
+        self.lexicon = lexicon
+        self._reset()
+
+    def _reset(self) -> None:
+        self.memo = _Memo()
+        self.tables = (np.zeros(1, np.uint16), np.full(1, -1, np.int16), np.zeros(1))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
         """Documents one after another, SIDE pads (id 0) before each and after the last; class -1 for pads."""
-        memo, look_up = self.memo, self.lexicon.look_up
-        if len(memo) > 200_000:
-            memo.clear()
-        pad = [(0, -1, 0.0)] * SIDE
-        rows, lengths = list(pad), []
+        if len(self.memo) > MEMO_WORDS:
+            self._reset()
+        number, pad, at, lengths = self.memo.__getitem__, [0] * SIDE, [0] * SIDE, []
         for text in texts:
-            toks = tokens(text)
-            for w in toks:
-                x = memo.get(w)
-                if x is None:
-                    x = memo[w] = look_up(w)
-                rows.append(x)
-            rows += pad
-            lengths.append(len(toks))
-        ids, classes, inner = zip(*rows, strict=True)
-        return np.array(ids, np.int32), np.array(classes, np.int32), np.array(inner), lengths
+            own = list(map(number, tokens(text)))
+            at += own
+            at += pad
+            lengths.append(len(own))
+        if self.memo.fresh:
+            new = zip(*self.lexicon.look_up(self.memo.fresh), strict=True)
+            self.tables = tuple(np.concatenate((t, np.array(x, t.dtype))) for t, x in zip(self.tables, new, strict=True))
+            self.memo.fresh.clear()
+        rows = np.array(at)
+        return *(t[rows] for t in self.tables), lengths
 
 
 class WindowNet:
@@ -129,37 +150,38 @@ class WindowNet:
             total += self.tables[k][ids[at + step]]
         return np.tanh(total)
 
-    def _log_softmax(self, h: np.ndarray) -> np.ndarray:
-        s = h @ self.out + self.bias
-        s -= s.max(axis=1, keepdims=True)
-        return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
-
     def log_class(self, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Log-probability of the class at each real position, 0 at pads."""
         out, real = np.zeros(len(ids)), np.flatnonzero(classes >= 0)
-        for i in range(0, len(real), 8192):
-            at = real[i : i + 8192]
-            out[at] = self._log_softmax(self._hidden(ids, at))[np.arange(len(at)), classes[at]]
+        for i in range(0, len(real), 4096):
+            at = real[i : i + 4096]
+            s = self._hidden(ids, at) @ self.out + self.bias
+            own = s[np.arange(len(at)), classes[at]]
+            np.exp(s, out=s)  # weights are small: sums of HIDDEN bounded terms
+            out[at] = own - np.log(s.sum(axis=1))
         return out
 
-    def train(self, ids: np.ndarray, classes: np.ndarray, rate: float, batch: int = 1024) -> int:
+    def train(self, ids: np.ndarray, classes: np.ndarray, rate: float, batch: int = 2048) -> int:
         """One pass of gradient steps over all real positions; returns how many there were."""
         real = np.flatnonzero(classes >= 0)
         for i in range(0, len(real), batch):
             at = real[i : i + batch]
             h = self._hidden(ids, at)
-            d = np.exp(self._log_softmax(h))
+            d = np.exp(h @ self.out + self.bias)
+            d /= d.sum(axis=1, keepdims=True)
             d[np.arange(len(at)), classes[at]] -= 1
             d /= len(at)
-            pre = (d @ self.out.T) * (1 - h * h) * (rate * 64)
-            self.out -= rate * 8 * (h.T @ d)
-            self.bias -= rate * 8 * d.sum(axis=0)
+            pre = (d @ self.out.T) * (1 - h * h) * np.float32(rate * 128)
+            self.out -= np.float32(rate * 16) * (h.T @ d)
+            self.bias -= np.float32(rate * 16) * d.sum(axis=0)
             for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
                 own = ids[at + step]
-                order = np.argsort(own, kind="stable")
+                order = np.argsort(own, kind="stable")  # 16-bit ids sort by radix
                 own = own[order]
                 first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
                 self.tables[k][own[first]] -= np.clip(np.add.reduceat(pre[order], first, axis=0), -0.5, 0.5)
+            np.clip(self.out, -4, 4, out=self.out)
+            np.clip(self.bias, -8, 8, out=self.bias)
         return len(real)
 
 
@@ -202,10 +224,23 @@ def byte_pairs(counts: DataFrame) -> DataFrame:
     return counts.select("word").mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame) -> DataFrame:
+    """The VOCAB most frequent words. A histogram of counts says from where on they lie, so that no more than these
+    and the ties of one bin are sorted, however many tasks hold the counts."""
+    bin_ = F.floor(F.log2("n") * 64).cast("int")
+    sizes = {r["bin"]: r["count"] for r in counts.groupBy(bin_.alias("bin")).count().collect()}
+    seen, least = 0, 0
+    for b in sorted(sizes, reverse=True):
+        seen, least = seen + sizes[b], b
+        if seen >= VOCAB:
+            break
+    return counts.where(bin_ >= least).orderBy(F.col("n").desc(), "word").limit(VOCAB)
+
+
 def lexicon(df: DataFrame, text_col: str = "text") -> Lexicon:
     """Counts over all documents; the driver gets the VOCAB most frequent words and at most 257 x 257 byte pairs."""
     counts = checkpointed(word_counts(df, text_col))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(VOCAB).collect()
+    top = most_frequent(counts).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
     pairs = {(r["a"], r["b"]): r["n"] for r in byte_pairs(counts).collect()}
     return Lexicon([(r["word"], r["n"]) for r in top], total, pairs)

@@ -24,7 +24,8 @@ def misspellings(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
 def event_windows(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts and sums by event type in tumbling windows; rows later than the watermark are left out."""
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", size).alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "total")
