@@ -17,6 +17,7 @@ hashes as a whole; repeated rows share a component; a null id is never a compone
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import checkpointed, map_batches
+from glyphmill.llm.common import checkpointed, map_batches, on_workers
 from glyphmill.llm.components import components
 from glyphmill.llm.decontam import WordHashes
 
@@ -297,62 +298,172 @@ def near_duplicates(df: DataFrame, shingle: int = 4, max_bits: int = 4, id_col:
 
 # --- filtering by similarity ------------------------------------------------------------------------------------------
 
-TABLES = 8
+#: Shingles taken as common, from a sample of the rows: they come last in the order of prefixes. This bounds a
+#: broadcast and changes only how many candidates there are, not what is found.
+COMMON, SAMPLE, COMMON_LEAST = 50_000, 16, 3
+#: A shingle's rows meet this many of them before all of them.
+PIVOTS = 16
 
 
-def _signature(toks: list[bytes], hashes: WordHashes) -> list[int]:
-    """TABLES fingerprints of the word pairs, each under hashes of its own."""
-    pairs = hashes.combine(hashes.of(toks), 2)
-    out = []
-    for t in range(TABLES):
-        with np.errstate(over="ignore"):
-            h = (pairs + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(signed(majority_bits(h ^ (h >> np.uint64(31)))))
-    return out
+def _common(marked: DataFrame, shingle: int, text_col: str) -> np.ndarray:
+    """Hashes of the shingles that most sampled rows share, by rising count."""
+    hashes = WordHashes(shingle)
+
+    def run(texts: list) -> dict[str, list]:
+        return {"h": np.concatenate([np.empty(0, np.uint64), *(np.unique(hashes(words(t))) for t in texts)]).view(np.int64).tolist()}
+
+    sampled = map_batches(marked.where(F.pmod("node", F.lit(SAMPLE)) == 0), run, [text_col], "h bigint")
+    often = sampled.groupBy("h").count().where(F.col("count") >= COMMON_LEAST)
+    top = often.orderBy(F.col("count").desc(), "h").limit(COMMON).collect()
+    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Two sets of at least this Jaccard similarity share one of so many first elements, in any one order of all."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
 
+def prefixes(marked: DataFrame, similarity: float, shingle: int, text_col: str = "text") -> DataFrame:
+    """``node, n, keys array<bigint>``: how many distinct shingles, and the prefix of their hashes, common ones last."""
+    common = _common(marked, shingle, text_col)
+    order = np.argsort(common, kind="stable")
+    load = on_workers(marked.sparkSession, (common[order], order), lambda x: (WordHashes(shingle), *x))
 
-def signatures(df: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
-    """``node, sig array<bigint>, parts array<int>``: a row's hash, its fingerprints and its distinct shingles' hashes."""
-    rows = df.select(F.col("node"), F.col(text_col).alias("text"))
+    def run(nodes: list, texts: list) -> dict[str, list]:
+        hashes, known, rank = load()
+        sizes, keys = [], []
+        for t in texts:
+            own = first = np.unique(hashes(words(t)))
+            if len(known) and len(own):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                hit = known[at] == own
+                first = np.concatenate((own[~hit], own[hit][np.argsort(rank[at[hit]], kind="stable")]))
+            sizes.append(len(own))
+            keys.append(first[: prefix_length(len(own), similarity)] if len(own) else own)
+        return {"node": nodes, "n": sizes, "keys": _lists(keys)}
+
+    return map_batches(marked, run, ["node", text_col], "node bigint, n int, keys array<bigint>")
+
+
+def shingle_sets(marked: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
+    """``node, parts array<bigint>``: the hashes of a row's distinct shingles."""
     hashes = WordHashes(shingle)
 
     def run(nodes: list, texts: list) -> dict[str, list]:
-        toks = [words(t) for t in texts]
-        parts = [np.unique(hashes(x).view(np.uint32)[::2]).view(np.int32) for x in toks]
-        ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
-        return {"node": nodes, "sig": [_signature(x, hashes) for x in toks], "parts": lists}
+        return {"node": nodes, "parts": _lists([np.unique(hashes(words(t))) for t in texts])}
+
+    return map_batches(marked, run, ["node", text_col], "node bigint, parts array<bigint>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    flat = np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
 
-    return map_batches(rows, run, ["node", "text"], "node bigint, sig array<bigint>, parts array<int>")
+_POSTS = "key bigint, run int, node bigint, n int, at int, head bigint, head_n int, head_at int, rows bigint"
+
+
+def _shared(similarity: float):
+    """Of rows sorted by key, those whose key others of fitting size have too, with the first node of each such run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
+            if held[0][0][0] != held[-1][0][-1]:
+                now = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                last = np.searchsorted(now[0], now[0][-1])
+                held = [tuple(x[last:] for x in now)]
+                yield _posts(*(x[:last] for x in now), similarity)
+        if held:
+            yield _posts(*(np.concatenate(x) for x in zip(*held, strict=True)), similarity)
+
+    return run
+
+
+def _posts(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> pa.RecordBatch:
+    order = np.lexsort((node, n, key))
+    key, node, n, at = (x[order] for x in (key, node, n, at))
+    once = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))  # repeated rows share a node
+    key, node, n, at = (x[once] for x in (key, node, n, at))
+    # No row on one side of a gap in size is similar to one on the other side.
+    starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (n[:-1] < similarity * n[1:] - 1e-9))))
+    sizes = np.diff(np.concatenate((starts, [len(key)])))
+    two = starts[sizes == 2]
+    most = np.minimum(n[two] - at[two], n[two + 1] - at[two + 1])
+    sizes[sizes == 2] = np.where(most * (1 + similarity) >= similarity * (n[two] + n[two + 1]) - 1e-9, 2, -2)
+    rows, run = sizes.repeat(np.abs(sizes)), n[starts].repeat(np.abs(sizes))
+    many = rows > 1
+    cols = [x[many] for x in (key, run, node, n, at, rows)]
+    sizes = sizes[sizes > 1]
+    order = np.lexsort((cols[2], np.arange(len(sizes)).repeat(sizes)))
+    key, run, node, n, at, rows = (x[order] for x in cols)
+    first = (np.cumsum(sizes) - sizes).repeat(sizes)
+    out = (key, run, node, n, at, node[first], n[first], at[first], rows)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[c.split()[0] for c in _POSTS.split(", ")])
+
+
+def similar_links(marked: DataFrame, similarity: float, shingle: int, text_col: str = "text") -> DataFrame:
+    """``a, b``: pairs of nodes of at least this similarity, enough to connect all that are linked by such pairs.
+
+    Every pair that shares a shingle of both prefixes, at places that leave room for enough others, is a candidate.
+    A candidate is left out only once its ends are joined by pairs that have passed the exact test: the rows of a
+    shingle are tested first with one of them, then, where their components still differ, with some of them, then
+    each with each. Only rows with a candidate have their sets built and moved.
+    """
+    posted = prefixes(marked, similarity, shingle, text_col).select("node", "n", F.posexplode("keys").alias("at", "key"))
+    grouped = posted.select("key", "node", "n", "at").repartition("key").sortWithinPartitions("key")
+    posts = checkpointed(grouped.mapInArrow(_shared(similarity), _POSTS))
+
+    def room(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
+        most = F.least(F.col(n_a) - F.col(at_a), F.col(n_b) - F.col(at_b))
+        return most * (1 + similarity) >= similarity * (F.col(n_a) + F.col(n_b)) - F.lit(1e-9)
+
+    def passed(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        for side in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}")), side)
+        both = F.size(F.array_intersect("parts_a", "parts_b"))
+        near = both >= similarity * (F.size("parts_a") + F.size("parts_b") - both) - F.lit(1e-9)
+        return checkpointed(pairs.where(near).select("a", "b"))
+
+    star = posts.where((F.col("node") != F.col("head")) & room("n", "at", "head_n", "head_at"))
+    able = posts.select("node").distinct()
+    texts = marked.select("node", text_col).join(able, "node", "left_semi").dropDuplicates(["node"])
+    sets = checkpointed(shingle_sets(texts, shingle, text_col))
+    links = passed(star.select(F.col("node").alias("a"), F.col("head").alias("b")))
+    whole = 4 * PIVOTS  # a shingle of up to so many rows has all its pairs tested at once
+    for least, every in ((2, False), (whole, True)):
+        roots = components(links)
+        live = posts.where(F.col("rows") > least).join(roots, "node", "left")
+        live = live.select("key", "run", "node", "n", "at", "rows", F.coalesce("root", "node").alias("root"))
+        mixed = live.groupBy("key", "run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        live = checkpointed(live.join(mixed.select("key", "run"), ["key", "run"], "left_semi"))
+        if live.isEmpty():
+            continue
+        ours = live
+        if not every:
+            ours = live.where((F.col("rows") <= whole) | (F.pmod(F.xxhash64("node"), "rows") < PIVOTS))
+        ours = ours.select("key", "run", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("root").alias("root_a"))
+        theirs = live.select("key", "run", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
+        pairs = ours.join(theirs, ["key", "run"]).where((F.col("root_a") != F.col("root_b")) & room("n_a", "at_a", "n_b", "at_b"))
+        links = links.unionByName(passed(pairs.select("a", "b")))
+    return links
 
 
 def keep_one(
-    df: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row, with all its columns, of each group of near duplicates.
 
-    Rows are near duplicates when their shingle sets have at least this Jaccard similarity. Candidates are rows that
-    any of TABLES fingerprints puts within ``max_bits`` of each other, by way of the index; the exact similarity of
-    the shingle sets decides. Fingerprints of word pairs move less under an edit than those of longer shingles, and
-    several of them find what one misses. Rows that repeat id and text stay or go together; wordless texts have no
-    shingles and always stay.
+    Rows are near duplicates when their shingle sets have at least this Jaccard similarity. Candidates come from
+    prefixes of the sets, which miss no such pair; the exact similarity of the sets decides. Rows that repeat id and
+    text stay or go together; wordless texts have no shingles and always stay.
     """
     node = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     marked = df.withColumn("node", node)
-    rows = checkpointed(signatures(marked, shingle, text_col).where(F.size("parts") > 0))
-    points = rows.select("node", F.posexplode("sig").alias("t", "fp"))
-    by = checkpointed(points.groupBy("t", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
-    same = points.join(by.where("n > 1"), ["t", "fp"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    linked = forest(by.select("t", "fp"), max_bits)
-    for side in ("a", "b"):
-        other = by.select("t", F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"))
-        linked = linked.join(other, ["t", side])
-    pairs = same.unionByName(linked.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).where("a <> b")
-    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    for side in ("a", "b"):
-        pairs = pairs.join(rows.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}")), side)
-    both = F.size(F.array_intersect("parts_a", "parts_b"))
-    near = pairs.where(both >= similarity * (F.size("parts_a") + F.size("parts_b") - both) - F.lit(1e-9))
-    gone = components(near.select("a", "b")).select("node")
+    gone = components(similar_links(marked, similarity, shingle, text_col)).select("node")
     return marked.join(gone, "node", "left_anti").select(*[F.col(c) for c in df.columns])

@@ -191,6 +191,35 @@ def test_keep_one_drops_near_copies_only(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def _jaccard_components(texts: dict[int, str]):
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return _components(sorted(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+
+
+def _kept_of_each(spark, texts, want):
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    ids = [r["doc_id"] for r in simhash.keep_one(df).collect()]
+    assert Counter(want[i] for i in ids) == Counter(set(want.values()))
+
+
+def test_keep_one_verifies_all_candidates_of_many_variants(spark):
+    """Variants of one text lie near 0.8 of each other: a pair that fails says nothing of the others."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(200), rng.randint(2, 6)):
+            w[k] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    want = _jaccard_components(texts)
+    assert 1 < len(set(want.values())) < 150
+    _kept_of_each(spark, texts, want)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 60)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
