@@ -5,7 +5,8 @@ candidate: its encoding is inferred (decimal, hexadecimal, base 32, letters, bas
 is from what text-like tokens of that encoding show: chi-squared uniformity over the alphabet, the number of runs of
 character classes, and serial correlation. The p-values are joined by the Cauchy combination, which holds under
 dependence, and a Benjamini-Hochberg rule over all candidates of the table, weighted by length because longer tokens
-carry more evidence, controls the false-discovery rate.
+carry more evidence, controls the false-discovery rate. Letters of one case are held against words by their turns
+between vowel and consonant and their usual pairs.
 
 How it scales: texts are read once, in place. Only candidates are kept, next to their document; the rule needs counts
 per (length class, p-value bin), a table of fixed size, and its threshold is applied by column functions.
@@ -32,7 +33,8 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs, so the same as runs of any length with the short ones dropped
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")  # "=" pads, and else parts name and value
+SPLITS = re.compile(r"[^+/]+"), re.compile(r"[^_-]+")  # of a run that mixes the separators of two alphabets
 KINDS = ("assign", "access", "hex", "random")
 
 #: Encodings in the order they are tried: characters, and how uneven text-like tokens are (size x sum of squared
@@ -47,6 +49,13 @@ ENCODINGS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 3.0),
 )
 TEXT_SWITCH, TEXT_SERIAL = 0.15, 0.5
+#: Of adjacent letters of words, at least about these shares change between vowel and consonant, or are in PAIRS.
+TEXT_TURNS, TEXT_PAIRS = 0.55, 0.4
+PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic "
+    "ne ea ra ce li ch ll be ma si om ur ei ie ge un da el la qu ue os ad do ci ca ta na mi no lo il us ui ai sc ss tr "
+    "pr pe po di et em ac ab id ig im ol op ot ow ut wi ho so su sa sp wa we".split()
+)
 LENGTH_CLASSES, P_BINS, P_STEP = 8, 3000, 0.01
 
 
@@ -72,6 +81,20 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
+def _even(token: str) -> bool:
+    """Whether the letters can be uniform: a run of few letters is neither words nor random."""
+    chi = 26 / len(token) * sum(v * v for v in Counter(token).values()) - len(token)
+    return chi <= 25 + 3.1 * math.sqrt(50)
+
+
+def _unlike_words(token: str) -> list[float]:
+    """How likely words have so few turns between vowel and consonant, and so few of the usual pairs of letters."""
+    n = len(token) - 1
+    turns = sum((a in "aeiouy") != (b in "aeiouy") for a, b in zip(token, token[1:], strict=False))
+    usual = sum(token[i : i + 2] in PAIRS for i in range(n))
+    return [_binomial_tail(n, 1 - p, n - k) for p, k in ((TEXT_TURNS, turns), (TEXT_PAIRS, usual))]
+
+
 def p_value(token: str) -> float:
     """How likely a text-like token looks at least as random as this one."""
     token = token.rstrip("=")
@@ -97,11 +120,28 @@ def p_value(token: str) -> float:
         serial = max(-0.999, min(0.999, serial))
         tests.append(_normal_cdf((math.atanh(serial) - math.atanh(TEXT_SERIAL)) * math.sqrt(len(core) - 3)))
     elif name != "decimal":  # letters of one case: words alternate vowels and consonants, so order says little
-        tests = [max(tests[0], 0.05), 1.0]
+        if name in ("letters", "base32") and _even(token):
+            tests += _unlike_words(token.lower())
+        else:
+            tests = [max(tests[0], 0.05), 1.0]
     joined = sum(math.tan((0.5 - min(max(p, 1e-15), 1 - 1e-15)) * math.pi) for p in tests) / len(tests)
     return min(1.0, max(1e-15, 0.5 - math.atan(joined) / math.pi if joined < 1e6 else 1 / (joined * math.pi)))
 
 
+def candidates(token: str) -> list[tuple[int, int, float]]:
+    """``start, end, p-value`` of a run, or of its parts where it mixes the separators of two alphabets. Both ways to
+    split are tried, for which the p-values are doubled."""
+    bare = token.rstrip("=")
+    if not (set(bare) & set("+/") and set(bare) & set("_-")):
+        return [(0, len(token), p_value(token))]
+    ways = []
+    for split in SPLITS:
+        parts = [m.span() for m in split.finditer(bare) if m.end() - m.start() >= 20]
+        ways.append([(a, len(token) if b == len(bare) else b, min(1.0, 2 * p_value(bare[a:b]))) for a, b in parts])
+    best = min(ways, key=lambda way: min((p for _, _, p in way), default=2.0))
+    return best or [(0, len(token), 1.0)]
+
+
 def length_class(n: int) -> int:
     return min(LENGTH_CLASSES - 1, int(math.log2(n / 20) * 2)) if n >= 20 else 0
 
@@ -114,10 +154,10 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     base.sort()
     more = []
     for m in TOKEN.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base):
-            bin_ = min(P_BINS - 1, int(-math.log10(p_value(m.group())) / P_STEP))
-            more.append((a, b, length_class(b - a), bin_))
+        for first, last, p in candidates(m.group()):
+            a, b = m.start() + first, m.start() + last
+            if not any(s < b and a < e for s, _, e in base):
+                more.append((a, b, length_class(b - a), min(P_BINS - 1, int(-math.log10(p) / P_STEP))))
     return base, more
 
 

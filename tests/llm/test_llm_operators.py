@@ -325,6 +325,29 @@ def test_secrets_base_spans_and_random_tokens(spark, docs, texts, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_in_assignments_mixed_runs_and_letters_of_one_case(spark):
+    rng = random.Random(21)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, chars=mixed: "".join(rng.choice(chars) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    wrap = [
+        lambda: ("AWS_SECRET_ACCESS_KEY=", key(40), ""), lambda: ("auth=", key(40), ""), lambda: ("?sig=", key(43), "="),
+        lambda: ("files/a-b/", key(40), ""), lambda: ("see ", key(90, lower), " here"), lambda: ("see ", key(90, lower.upper()), " here"),
+    ]
+    made = [wrap[i % 6]() for i in range(120)]
+    plain = ["internationalizationofdocumentsandothers", "usr/share/some-package_name/documentation/files", "z" * 60, "name_of_the_setting=value_of_the_setting"]
+    rows = [(i, "".join(x)) for i, x in enumerate(made)] + [(1000 + i, plain[i % 4]) for i in range(400)]
+    found = _rows(secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    for kind in range(6):
+        hit = []
+        for i in range(kind, 120, 6):
+            at, spans = len(made[i][0]), [x.split(":") for x in found[i]["spans"].split(",") if x.startswith("random")]
+            # of a run with two alphabets' separators, the neighbours may belong to the token
+            hit.append(any((int(a) == at or kind == 3 and int(a) <= at) and int(b) >= at + len(made[i][1]) for _, a, b in spans))
+        assert sum(hit) >= 18, kind
+    assert sum(found[1000 + i]["n_random"] for i in range(400)) == 0
+
+
 # --- 7 ---
 
 
