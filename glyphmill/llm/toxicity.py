@@ -2,7 +2,7 @@
 
 A text is a sequence of words. A word's input joins word features (smoothed log-odds of the word between toxic and
 clean training documents, a learned embedding) and character features (the same for the character 4- and 5-grams of the
-marked word). Windows of ``WINDOW`` words, each overlapping the next by a quarter, are read by a GRU in both directions,
+marked word). All overlapping windows of ``WINDOW`` words, one from every word on, are read by a GRU in both directions,
 attention pools the states into one logit, and a document's score is the calibrated logit of its most toxic window.
 Training is by multiple instances: a toxic document teaches through its highest window, a clean one through its highest
 and a few others.
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import filter_batches, map_batches, on_workers
 
 MAX_DOCS = 1500
-WINDOW, STRIDE = 16, 12
+WINDOW = 16
+SWEEP = 1024
 HIDDEN, EMBED, ATT = 8, 4, 8
 VOCAB, GRAMS, MIN_DOCS, LEAST_Z = 4096, 8192, 4, 2.5
 CACHE_WORDS = 150_000
@@ -142,12 +143,11 @@ class Model:
         return out[0], out[1]
 
 
-def _windows(n: int) -> np.ndarray:
-    """Word positions (from 1; 0 pads) of every window of a text of n words."""
-    starts = np.arange(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
-    at = starts[:, None] + np.arange(1, WINDOW + 1)
-    at[at > n] = 0
-    return at
+def _windows(ids: np.ndarray) -> np.ndarray:
+    """The words of every window, one from each word on, as a view; a shorter text is one window, padded by 0."""
+    if len(ids) < WINDOW:
+        ids = np.concatenate((ids, np.zeros(WINDOW - len(ids), ids.dtype)))
+    return np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
 
 
 def _odds(docs: Iterable[set[str]], labels: list[int], most: int) -> dict[str, tuple[int, float]]:
@@ -187,13 +187,14 @@ def fit(texts: list[str], labels: list[int], share: float, rounds: int = 8, seed
     }
     vocab = {w: i + 1 for i, w in enumerate(sorted({w for x in toks for w in x}))}
     feats = [(0, [], [0.0] * 4), *[model.features(w) for w in vocab]]
-    docs = [(y, np.array([0, *[vocab[w] for w in x]])[_windows(len(x))]) for x, y in zip(toks, labels, strict=True) if x]
+    numbers = [np.array([vocab[w] for w in x]) for x in toks if x]
+    docs = list(zip([y for x, y in zip(toks, labels, strict=True) if x], map(_windows, numbers), strict=True))
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     step, best = 0, [0] * len(docs)
     for turn in range(rounds):
         scored = _project(model, feats)
-        best = [int(np.argmax(x)) for x in _score_docs(model, scored, [d for _, d in docs])]
+        best = [int(np.argmax(x)) for x in _score_docs(model, scored, numbers)]
         picked = [(d[best[i]], y) for i, (y, d) in enumerate(docs)]
         picked += [(d[rng.randrange(len(d))], 0) for y, d in docs if y == 0 for _ in range(2)]
         rng.shuffle(picked)
@@ -227,7 +228,7 @@ def fit(texts: list[str], labels: list[int], share: float, rounds: int = 8, seed
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 rate = 0.01 * (1 - turn / (rounds + 1))
                 model.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    tops = np.array([x.max() for x in _score_docs(model, _project(model, feats), [d for _, d in docs])])
+    tops = np.array([x.max() for x in _score_docs(model, _project(model, feats), numbers)])
     _calibrate(model, tops, np.array([y for y, _ in docs]), share)
     return model
 
@@ -251,15 +252,52 @@ def _project(model: Model, feats: list) -> tuple[np.ndarray, np.ndarray]:
     return x @ model.p["wf"] + model.p["bf"], x @ model.p["wx"] + model.p["bx"]
 
 
-def _score_docs(model: Model, projected: tuple[np.ndarray, np.ndarray], docs: list[np.ndarray], chunk: int = 2048) -> list[np.ndarray]:
-    """Logits of the windows of each document."""
-    rows = np.concatenate(docs) if docs else np.zeros((0, WINDOW), np.int64)
-    out = np.empty(len(rows), np.float32)
-    for at in range(0, len(rows), chunk):
-        part = rows[at : at + chunk]
-        mask = np.where(part == 0, np.float32(-30), np.float32(0))
-        out[at : at + chunk] = model.forward(projected[0][part], projected[1][part], mask)[0]
-    return np.split(out, np.cumsum([len(d) for d in docs])[:-1]) if docs else []
+def _sweep(model: Model, xf: np.ndarray, xb: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Logits of the windows that start at each word but the last WINDOW - 1, as ``Model.forward`` gives them: from
+    the projected inputs (3 x hidden, words) of both directions, whose gates are halved for ``tanh``."""
+    n, p = len(mask) - WINDOW + 1, model.p
+    states = np.empty((WINDOW, 2 * HIDDEN, n), np.float32)
+    for x, name, order, rows in ((xf, "uf", range(WINDOW), slice(0, HIDDEN)), (xb, "ub", range(WINDOW - 1, -1, -1), slice(HIDDEN, 2 * HIDDEN))):
+        u = np.ascontiguousarray(p[name].T, np.float32)
+        u[: 2 * HIDDEN] *= 0.5
+        h = np.zeros((HIDDEN, n), np.float32)
+        for i in order:
+            g = u @ h
+            zr, c = g[: 2 * HIDDEN], g[2 * HIDDEN :]
+            zr += x[: 2 * HIDDEN, i : i + n]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            c *= zr[HIDDEN:]
+            c += x[2 * HIDDEN :, i : i + n]
+            np.tanh(c, out=c)
+            h -= c
+            h *= zr[:HIDDEN]
+            h += c
+            states[i, rows] = h
+    a = np.matmul(np.ascontiguousarray(p["a"].T), states)
+    a += p["ab"][:, None]
+    np.tanh(a, out=a)
+    s = np.matmul(p["v"], a) + np.lib.stride_tricks.sliding_window_view(mask, n)
+    s = np.exp(s - s.max(axis=0))
+    return (s * np.matmul(p["w"], states)).sum(axis=0) / s.sum(axis=0) + p["wb"][0]
+
+
+def _score_docs(model: Model, projected: tuple[np.ndarray, np.ndarray], docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Logits of all windows of each document, given as its words' numbers."""
+    if not docs:
+        return []
+    padded = [np.concatenate((d, np.zeros(WINDOW - len(d), d.dtype))) if len(d) < WINDOW else d for d in docs]
+    flat = np.concatenate(padded)
+    out = np.empty(len(flat) - WINDOW + 1, np.float32)
+    for at in range(0, len(out), SWEEP):
+        part = flat[at : at + SWEEP + WINDOW - 1]
+        xs = [np.ascontiguousarray(x[part].T) for x in projected]
+        for x in xs:
+            x[: 2 * HIDDEN] *= 0.5
+        out[at : at + SWEEP] = _sweep(model, *xs, np.where(part == 0, np.float32(-30), np.float32(0)))
+    ends = np.cumsum([len(d) for d in padded])  # windows across two documents are left out
+    return [out[end - len(d) : end - WINDOW + 1] for d, end in zip(padded, ends.tolist(), strict=True)]
 
 
 class Scorer:
@@ -288,14 +326,14 @@ class Scorer:
             toks = words(text)
             if not toks:
                 continue
-            ids = [0]
+            ids = []
             for w in toks:
                 at = known.get(w)
                 if at is None:
                     at = known[w] = self.size + len(fresh)
                     fresh.append(w)
                 ids.append(at)
-            docs.append(np.array(ids)[_windows(len(toks))])
+            docs.append(np.array(ids))
             where.append(i)
         if fresh:
             f, b = _project(m, [m.features(w) for w in fresh])

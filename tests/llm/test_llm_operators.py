@@ -403,6 +403,25 @@ def test_toxicity_learns_words_and_scores_every_row(spark, docs, texts, empty):
     assert {r["score"] for r in toxicity.score(df, flat).collect()} == {0.0}
 
 
+def test_toxicity_scores_every_overlapping_window():
+    rng = random.Random(9)
+    vocab = ["house", "tree", "river", "stone", "cloud", "field", "light", "grass", "grunk", "vexol"]
+    texts = [" ".join(rng.choice(vocab[: 8 + 2 * (i % 2)]) for _ in range(rng.randint(5, 60))) for i in range(200)]
+    model = toxicity.fit(texts, [i % 2 for i in range(200)], 0.5, rounds=2)
+    scorer = toxicity.Scorer(model)
+    for n in (1, 15, 16, 17, 28, 61, 3000):
+        toks = [rng.choice(vocab) for _ in range(n)]
+        best = -np.inf
+        for at in range(max(1, n - 15)):
+            own = toks[at : at + 16]
+            feats = [model.features(w) for w in own] + [(0, [], [0.0] * 4)] * (16 - len(own))
+            x = model.inputs(feats)
+            mask = np.array([[0.0] * len(own) + [-30.0] * (16 - len(own))], np.float32)
+            best = max(best, model.forward((x @ model.p["wf"] + model.p["bf"])[None], (x @ model.p["wx"] + model.p["bx"])[None], mask)[0][0])
+        want = 1 / (1 + np.exp(-(model.scale * best + model.shift)))
+        assert abs(scorer(["short one", " ".join(toks), "other"])[1] - want) < 1e-4, n
+
+
 def test_toxicity_gradients():
     m = toxicity.Model()
     rng = np.random.default_rng(0)
