@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows handed to a Python worker at a time: texts can be very long, so batches stay small.
-BATCH_ROWS = 512
+#: Rows, and bytes of Arrow data, that a function gets at a time: texts can be very long, so batches stay small. One
+#: row is never split.
+BATCH_ROWS, BATCH_BYTES = 512, 8_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,18 +21,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder the session names.
-
-    Only where ``spark.checkpoint.dir`` is unset (single-machine tests) is a folder made here.
-    """
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphmill-ckpt-")
-        )
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, as in tests, one in the warehouse, which the
+    driver and the executors share too."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_glyphmill").rstrip("/")
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch within the bounds in rows and bytes."""
+    for at in range(0, batch.num_rows, BATCH_ROWS):
+        todo = [batch.slice(at, BATCH_ROWS)]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > BATCH_BYTES:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
 def fresh_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
 
@@ -45,8 +60,7 @@ def map_batches(df: DataFrame, fn: Callable[[list], dict[str, list]], columns: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in parts(batch):
                 out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
                 yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -60,8 +74,7 @@ def filter_batches(df: DataFrame, keep: Callable[[list], list[bool]], column: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(start, BATCH_ROWS)
+            for part in parts(batch):
                 yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
