@@ -4,9 +4,9 @@ The index is a table with one row per distinct text: the SHA-256 of the text wit
 row that stays and the number of rows seen. It is bucketed and sorted by digest, so a new batch, reduced to its own
 distinct digests first, meets it in a sort-merge anti-join without shuffling the index, and what is new is appended.
 
-Of equal texts the row with the largest id stays; among repeated rows with the same id, one of them. Null counts as
-the empty text, and empty texts are equal to each other. Empty tables give empty results; columns besides the id and
-the text are carried by ``keep_new`` untouched.
+Of equal texts the row with the largest id stays (null is the smallest); rows that repeat both the id and the text
+count each, and one of them stays. Null counts as the empty text, and empty texts are equal to each other. Empty tables
+give empty results; columns besides the id and the text, whatever their names, are carried by ``keep_new`` untouched.
 """
 
 from __future__ import annotations
@@ -25,31 +25,31 @@ def digest(text_col: str) -> Column:
 
 
 class DigestIndex:
-    """A persistent table ``digest, keep_id, keep_row, group_size`` in the warehouse, created when first written."""
+    """A persistent table ``digest, keep_id, group_size`` in the warehouse, made empty if it isn't there; ``id_type``
+    is then the type of the ids. A table that is there keeps its number of buckets."""
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None, id_type: str = "bigint") -> None:
         self.spark, self.table = spark, table
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def read(self) -> DataFrame | None:
-        return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else None
-
-    def files(self) -> DataFrame:
-        """The same rows without the bucketing, for joins with rows whose digests are skewed: there, both sides are
-        shuffled and large partitions split at run time."""
-        location = (
-            self.spark.sql(f"DESCRIBE FORMATTED {self.table}").where("col_name = 'Location'").first()["data_type"]
-        )
-        return self.spark.read.schema(self.read().schema).parquet(location)
+        if spark.catalog.tableExists(table):
+            rows = spark.sql(f"DESCRIBE FORMATTED {table}").where("lower(col_name) = 'num buckets'").collect()
+            self.buckets = int(rows[0]["data_type"])
+        else:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.sql(
+                f"CREATE TABLE {table} (digest BINARY, keep_id {id_type}, group_size BIGINT) USING parquet "
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
+            )
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of the batch (distinct digests) that the index does not hold."""
-        seen = self.read()
-        return batch if seen is None else batch.join(seen.select("digest").hint("merge"), "digest", "left_anti")
+        return batch.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, batch: DataFrame) -> None:
         (
-            batch.select("digest", "keep_id", "keep_row", "group_size")
+            batch.select("digest", "keep_id", "group_size")
             .repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest")
             .sortBy("digest")
@@ -64,42 +64,50 @@ class DigestIndex:
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
     """One row per digest; a hot digest is reduced before the shuffle."""
-    return (
-        rows.groupBy("digest")
-        .agg(F.max(F.struct("id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-        .select("digest", F.col("top.id").alias("keep_id"), F.col("top.row").alias("keep_row"), "group_size")
-    )
-
-
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, row, digest``: each text is read and hashed once; ``row`` tells repeated rows apart."""
-    return checkpointed(
-        df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), digest(text_col).alias("digest"))
-    )
+    return rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
 def deduplicate(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add the table to the index and report every row: ``id, keep_id, group_size, kept, text_sha256``.
 
-    ``keep_id`` is the row that stays for good: for a text the index held before, a row of an earlier batch.
+    ``keep_id`` is the row that stays for good: for a text the index held before, a row of an earlier batch, so that no
+    row of this one stays. The index is read bucket by bucket and never shuffled: the batch's distinct digests meet it,
+    and what it says of them is brought back to the rows by a join that splits a hot digest.
     """
-    rows = _keyed(df, id_col, text_col)
-    index.append(index.unseen(distinct_digests(rows)))
-    return rows.join(index.files(), "digest").select(
+    row, most = fresh_name("row"), F.max(F.struct("id", "row"))
+    rows = checkpointed(
+        df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), digest(text_col).alias("digest"))
+    )
+    batch = rows.groupBy("digest").agg(most.alias("top"), F.count(F.lit(1)).alias("group_size"))
+    batch = batch.select("digest", F.col("top.id").alias("keep_id"), F.col("top.row").alias(row), "group_size")
+    batch = checkpointed(batch)
+    fresh = checkpointed(index.unseen(batch))
+    index.append(fresh)
+    held = index.read().select("digest", "keep_id", "group_size").hint("merge")
+    answer = batch.select("digest").join(held, "digest")
+    answer = checkpointed(answer.join(fresh.select("digest", row), "digest", "left"))
+    return rows.join(answer, "digest").select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
-        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))).alias("kept"),
+        F.col("row").eqNullSafe(F.col(row)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def keep_new(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the table, with all their columns, whose text the index did not hold, one for each text."""
-    rows = _keyed(df, id_col, text_col)
+    """The rows of the table, with all their columns, whose text the index did not hold, one for each text.
+
+    Rows are told by the digest of the text and the id, which any other reading of the table gives again, not by their
+    place in it; so it doesn't matter how the table is made or split.
+    """
+    key = fresh_name("key")
+    ident = F.col(id_col).cast("string")
+    # One binary key, without nulls: rows are then dealt once for both the removal of repeats and the join.
+    whole = F.concat(digest(text_col), F.coalesce(F.concat(F.lit("="), ident), F.lit("")).cast("binary"))
+    rows = checkpointed(df.select(F.col(id_col).alias("id"), digest(text_col).alias("digest")))
     fresh = checkpointed(index.unseen(distinct_digests(rows)))
     index.append(fresh)
-    mark = fresh_name("row")
-    keep = fresh.select(F.col("keep_id").alias("k"), F.col("keep_row").alias("r"))
-    marked = df.withColumn(mark, F.monotonically_increasing_id())
-    return marked.join(keep, F.col(id_col).eqNullSafe(F.col("k")) & (F.col(mark) == F.col("r")), "left_semi").drop(mark)
+    kept = F.coalesce(F.concat(F.lit("="), F.col("keep_id").cast("string")), F.lit("")).cast("binary")
+    kept = fresh.select(F.concat("digest", kept).alias(key))
+    return df.withColumn(key, whole).dropDuplicates([key]).join(kept, key, "left_semi").drop(key)

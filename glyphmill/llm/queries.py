@@ -39,8 +39,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm import exact_dedup
 
-    index = exact_dedup.DigestIndex(spark, fresh_name("digest_index"))
-    return exact_dedup.deduplicate(documents(spark, sf_dir), index)
+    docs, index = documents(spark, sf_dir), exact_dedup.DigestIndex(spark, fresh_name("digest_index"))
+    out = exact_dedup.deduplicate(docs, index)
+    index.drop()  # the result is read from checkpoints
+    return out
 
 
 OP5_SQL = """

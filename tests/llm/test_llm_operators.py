@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from glyphmill.llm import bpe, components, decontam, exact_dedup, lm_score, quality, secrets, sharding, simhash, substring_dedup, toxicity
 from glyphmill.llm.common import fresh_name
@@ -300,6 +301,49 @@ def test_exact_dedup_over_batches(spark, docs, texts, empty):
     assert exact_dedup.deduplicate(empty, exact_dedup.DigestIndex(spark, fresh_name("t"), 4)).count() == 0
 
 
+def test_keep_new_loses_nothing_however_the_table_is_made(spark):
+    n, texts = 4_000, 3_000
+    base = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("Text "), F.col("id") % texts).alias("text"),
+        *[F.lit("x").alias(c) for c in ("k", "r", "id", "row", "digest", "keep_id", "group_size")],
+    )
+    other = base.select("doc_id", F.col("id").alias("more"))
+    tables = {
+        "dealt": base.repartition(50),
+        "joined": base.join(other.hint("merge"), "doc_id").drop("more"),
+        "united": base.where("doc_id < 100").unionByName(base.where("doc_id >= 100")).repartition(7, "k"),
+    }
+    for df in tables.values():
+        index = exact_dedup.DigestIndex(spark, fresh_name("t"), 4)
+        kept = exact_dedup.keep_new(df, index)
+        assert kept.columns == df.columns
+        rows = kept.collect()
+        assert len(rows) == texts == len({r["text"] for r in rows}) == index.read().count()
+        assert {r["doc_id"] for r in rows} == set(range(texts, n)) | set(range(n - texts, texts))
+        index.drop()
+
+
+def test_keep_new_of_repeated_rows_and_null_ids(spark):
+    rows = [(None, "a"), (None, "a"), (None, "b"), (1, "b"), (2, "c"), (2, "C"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    index = exact_dedup.DigestIndex(spark, fresh_name("t"), 3, "int")
+    got = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in exact_dedup.keep_new(df, index).collect()), key=str)
+    assert got == [(1, "b"), (2, "c"), (4, ""), (None, "a")]
+
+
+def test_digest_index_takes_batches_under_another_partition_count(spark):
+    name, old = fresh_name("t"), spark.conf.get("spark.sql.shuffle.partitions")
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
+    second = spark.createDataFrame([(3, "B"), (4, "c"), (5, "c")], "doc_id bigint, text string")
+    exact_dedup.keep_new(first, exact_dedup.DigestIndex(spark, name)).collect()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(int(old) + 3))
+        got = _rows(exact_dedup.deduplicate(second, exact_dedup.DigestIndex(spark, name)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert {i: (r["keep_id"], r["group_size"], r["kept"]) for i, r in got.items()} == {3: (2, 1, False), 4: (5, 2, False), 5: (5, 2, True)}
+
+
 # --- 6 ---
 
 
