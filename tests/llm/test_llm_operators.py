@@ -453,19 +453,30 @@ def test_toxicity_scores_every_overlapping_window():
     texts = [" ".join(rng.choice(vocab[: 8 + 2 * (i % 2)]) for _ in range(rng.randint(5, 60))) for i in range(200)]
     model = toxicity.fit(texts, [i % 2 for i in range(200)], 0.5, rounds=2)
     scorer = toxicity.Scorer(model)
-    for n in (1, 15, 16, 17, 28, 61, 3000):
+    for n in (1, 15, 16, 17, 28, 61, 64, 65, 3000):
         toks = [rng.choice(vocab) for _ in range(n)]
+        # One reading of the whole text in each direction, without segments; then attention over each window.
+        xf, xb = (np.concatenate((np.repeat(e, toxicity.WARM, axis=0), x, np.repeat(e, toxicity.WARM, axis=0))) for x, e in zip(model.project(toks), model.project([""]), strict=True))
+        _, (states, a, _, _, _) = model.forward(xf[None], xb[None], np.zeros((1, len(xf)), np.float32))
+        states, energy = states[0][toxicity.WARM : toxicity.WARM + n], a.reshape(len(xf), -1)[toxicity.WARM : toxicity.WARM + n] @ model.p["v"]
         best = -np.inf
         for at in range(max(1, n - 15)):
-            own = toks[at : at + 16]
-            feats = [model.features(w) for w in own] + [(0, [], [0.0] * 4)] * (16 - len(own))
-            x = model.inputs(feats)
-            mask = np.array([[0.0] * len(own) + [-30.0] * (16 - len(own))], np.float32)
-            best = max(best, model.forward((x @ model.p["wf"] + model.p["bf"])[None], (x @ model.p["wx"] + model.p["bx"])[None], mask)[0][0])
+            share = np.exp(energy[at : at + 16])
+            best = max(best, share @ states[at : at + 16] @ model.p["w"] / share.sum() + model.p["wb"][0])
         want = 1 / (1 + np.exp(-(model.scale * best + model.shift)))
         assert abs(scorer(["short one", " ".join(toks), "other"])[1] - want) < 1e-4, n
 
 
+def test_toxicity_inputs_of_words():
+    model = toxicity.Model(words={"vexol": (1, 2.0)}, grams={"<vex": (1, 1.5), "exol>": (2, -1.0), "été>": (3, 0.5)})
+    model.p = {"word": np.arange(8, dtype=np.float32).reshape(2, 4), "gram": np.arange(16, dtype=np.float32).reshape(4, 4)}
+    x = model.inputs(*model.features(["vexol", "", "a", "été", "<vex"]))
+    assert x[0].tolist() == [2.0, 1.5, -1.0, 0.25, 4, 5, 6, 7, 6, 7, 8, 9]
+    assert x[1].tolist() == x[2].tolist() == [0, 0, 0, 0, 0, 1, 2, 3, 0, 0, 0, 0]
+    assert x[3].tolist() == [0, 0.5, 0.5, 0.5, 0, 1, 2, 3, 12, 13, 14, 15]
+    assert x[4].tolist() == [0, 1.5, 1.5, 1.5, 0, 1, 2, 3, 4, 5, 6, 7]
+
+
 def test_toxicity_gradients():
     m = toxicity.Model()
     rng = np.random.default_rng(0)
@@ -564,3 +575,25 @@ def test_repeats_match_brute_force(spark, empty, monkeypatch):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect()}
     assert got == _cut({i: (t or "").encode() for i, t in rows.items()})
     assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_passages_that_other_documents_hold(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_ROWS", 8)
+    rng = random.Random(18)
+    new = lambda n: [rng.choice("abcdefghé") * rng.randint(1, 5) + str(rng.randrange(300)) for _ in range(n)]
+    passage, own = new(70), new(60)
+    docs = {0: [], 1: new(50), 2: own + new(10) + own, 3: new(400)}
+    docs |= {10 + i: new(rng.randint(0, 90)) + passage[rng.randint(0, 12) : 70 - rng.randint(0, 12)] + new(rng.randint(0, 90)) for i in range(60)}
+    docs |= {100: docs[3][:200] + new(1) + docs[3][201:], 101: docs[3][20:72], 102: docs[3][20:70]}
+    rows = [(i, rng.choice([" ", "\n", "\t "]).join(w)) for i, w in docs.items()]
+    rows += [(3, rows[3][1]), (2, rows[2][1])]  # repeated rows are not another document
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_shared_words"] for r in substring_dedup.remove_repeats(df).collect()}
+    where: dict = {}
+    for i, w in docs.items():
+        for k in range(len(w) - 50):
+            where.setdefault(tuple(w[k : k + 51]), set()).add(i)
+    for i, w in docs.items():
+        covered = {k + j for k in range(len(w) - 50) if len(where[tuple(w[k : k + 51])]) > 1 for j in range(51)}
+        assert got[i] == len(covered), i
+    assert got[2] == got[102] == 0 < got[101]
