@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.plans import language, morphology, reports, suggest, text, vectors
+from glyphmill.plans import checks, language, morphology, reports, suggest, text, vectors
 
-MODULES = (text, language, vectors, reports, suggest, morphology)
+MODULES = (text, language, vectors, reports, suggest, morphology, checks)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

@@ -27,6 +27,11 @@ def tokens(text: Column, kind: str = "checker") -> Column:
     return F.transform(found, F.lower) if kind in ("multi", "semantic") else found
 
 
+def folded_tokens(text: Column) -> Column:
+    """Tokens of the checker in lower case. They are ASCII, so the text's ASCII letters are folded, in one go."""
+    return all_matches(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[a-z']+")
+
+
 def token_table(df: DataFrame, kind: str = "checker", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, idx, token, pos, len``: one row for each token with its offset in code points, in linear time."""
     find, fold = re.compile(PATTERNS[kind], re.ASCII).finditer, kind in ("multi", "semantic")

@@ -11,6 +11,12 @@ from glyphmill.functions import tokens as T
 BROADCAST_ROWS = 500_000
 
 
+def sized(words: DataFrame) -> DataFrame:
+    """The dictionary, kept, and marked for a broadcast if it is small enough; else joins shuffle it."""
+    kept = words.persist()
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def words_of(docs: DataFrame, kind: str = "checker", text_col: str = "text") -> DataFrame:
     """``doc_id, lang, word``: one row for each token, folded to lower case."""
     return docs.select("doc_id", "lang", F.explode(T.tokens(F.col(text_col), kind)).alias("token")).select("doc_id", "lang", F.lower("token").alias("word"))
@@ -18,7 +24,7 @@ def words_of(docs: DataFrame, kind: str = "checker", text_col: str = "text") ->
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """``lang, word, docs``: in how many documents a word stands. Repeats inside a document go before any shuffle."""
-    folded = F.array_distinct(F.transform(T.tokens(F.col("text")), F.lower))
+    folded = F.array_distinct(T.folded_tokens(F.col("text")))
     return docs.select("lang", F.explode(folded).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("docs"))
 
 

@@ -36,10 +36,21 @@ VOWEL_SOUND = ("hour", "heir", "honest", "herb")
 NEGATIVES = ("not", "no", "neither", "nobody", "never", "nothing", "nowhere", "hardly", "barely", "scarcely")
 #: Words after "there" that keep it, and nouns that ask for "their". Fixed values.
 LOCATION_VERBS = tuple("is was are be been being goes went seems appears looks remains existed stood lay came arrived".split())
-POSSESSED = tuple(
+POSSESSED = tuple((
     "social standing parents example birth own home house family life work job business money time way place spot location position "
-    "hands feet eyes ears head face mind heart soul spirit".split()
-)
+    "hands feet eyes ears head face mind heart soul spirit thoughts feelings emotions beliefs opinions views names titles status role "
+    "rank efforts actions deeds behavior problems troubles difficulties issues goals dreams hopes wishes desires children friends "
+    "colleagues teachers students leaders members country nation world society culture history past future present moment side part "
+    "portion share piece bit value worth importance significance use benefit purpose reason cause story tale account report review idea "
+    "concept notion theory approach method strategy plan scheme attitude manner style nature character personality qualities skills "
+    "abilities talents gifts strengths habits customs practices traditions achievements successes failures mistakes experiences "
+    "adventures journeys travels background origins roots sources beginnings development growth progress changes evolution perspective "
+    "view outlook stance mindset thinking feeling belief relationship connection bond tie link influence impact effect power authority "
+    "control command charge leadership responsibility duty obligation task care attention concern interest focus love affection passion "
+    "devotion respect admiration appreciation knowledge understanding wisdom insight ability capability capacity potential condition "
+    "state situation quality characteristic feature trait problem issue challenge difficulty solution answer remedy fix result outcome "
+    "consequence sign signal indicator mark evidence proof indication"
+).split())
 #: Wrong phrase, right phrase. Fixed values.
 PHRASES = {
     "EN_COULD_OF": ("could of", "could have"),

@@ -14,13 +14,37 @@ def verify(contents: DataFrame, manifest: DataFrame) -> DataFrame:
     return digest.join(manifest, "path", "left").select("path", status.alias("status"))
 
 
-def eviction(entries: DataFrame, most: int) -> DataFrame:
-    """Entries ``key, size, ts`` to drop, oldest first, until the rest fits.
+def eviction(entries: DataFrame, most: int, buckets: int = 1000) -> DataFrame:
+    """Entries ``key, size, ts`` to drop, oldest first, until the rest fits; entries of one time go by key.
 
-    The running sum orders all entries, so it is for tables of cache entries, not of documents.
+    The sizes of ``buckets`` spans of time, a table of that many rows, say in which span the limit is passed; only
+    that span's entries are put in order, and in them the same is done again as long as they are many.
     """
-    newest = Window.orderBy(F.col("ts").desc(), F.col("key").desc())
-    return entries.withColumn("kept", F.sum("size").over(newest)).where(F.col("kept") > most).select("key", "size", "ts")
+    todo, room, gone = entries.select("key", "size", "ts"), most, None
+    while True:
+        span = todo.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n")).first()
+        if not span["n"]:
+            return todo if gone is None else gone
+        low, high = F.lit(span["a"]).cast("double"), F.lit(span["b"]).cast("double")
+        bucket = F.least(F.floor((F.col("ts").cast("double") - low) / (high - low) * buckets), F.lit(buckets - 1)) if span["a"] != span["b"] else F.lit(0)
+        placed = todo.withColumn("bucket", F.coalesce(bucket, F.lit(0)).cast("int"))
+        sums = {r["bucket"]: (r["s"], r["n"]) for r in placed.groupBy("bucket").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
+        cut = None
+        for b in sorted(sums, reverse=True):
+            if sums[b][0] > room:
+                cut = b
+                break
+            room -= sums[b][0]
+        if cut is None:
+            return todo.limit(0) if gone is None else gone
+        older = placed.where(F.col("bucket") < cut).select("key", "size", "ts")
+        gone = older if gone is None else gone.unionByName(older)
+        todo = placed.where(F.col("bucket") == cut).select("key", "size", "ts")
+        if sums[cut][1] <= 100_000 or span["a"] == span["b"]:
+            break
+    newest = Window.partitionBy("one").orderBy(F.col("ts").desc(), F.col("key").desc())
+    last = todo.withColumn("one", F.lit(1)).withColumn("kept", F.sum("size").over(newest)).where(F.col("kept") > room).select("key", "size", "ts")
+    return gone.unionByName(last)
 
 
 def expired(ts: Column, now: Column, days: int) -> Column:

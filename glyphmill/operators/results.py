@@ -11,14 +11,17 @@ from glyphmill.operators import dictionary as D
 
 
 def word_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, word, n``: each document's words with their counts, counted inside the row's own task."""
-    folded = F.transform(T.tokens(F.col("text")), F.lower)
-    return docs.select("doc_id", "lang", F.explode(folded).alias("word")).groupBy("doc_id", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    """``doc_id, lang, word``: each document's words, one row for each time they stand there."""
+    return docs.select("doc_id", "lang", F.explode(T.folded_tokens(F.col("text"))).alias("word"))
 
 
 def errors(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``doc_id, lang, word, n``: what the dictionary of the document's language lacks."""
-    return word_rows(docs).join(dictionary, ["lang", "word"], "left_anti").select("doc_id", "lang", "word", "n")
+    """``doc_id, lang, word, n``: what the dictionary of the document's language lacks.
+
+    A small dictionary goes to the documents, so that only errors are shuffled, already counted in their row's task.
+    """
+    wrong = word_rows(docs).join(D.sized(dictionary), ["lang", "word"], "left_anti")
+    return wrong.groupBy("doc_id", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def per_document(docs: DataFrame, dictionary: DataFrame) -> DataFrame:

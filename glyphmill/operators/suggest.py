@@ -39,11 +39,32 @@ def neighbourhood(word: Column, depth: int) -> Column:
     return out
 
 
+#: Words of up to so many letters are found by deletions, longer ones (junk, as a rule) by equal segments.
+SHORT = 20
+
+
 def edit_candidates(queries: DataFrame, words: DataFrame, most: int = 2) -> DataFrame:
-    """``lang, query, word`` of all pairs within ``most`` edits or swaps (and some others)."""
-    q = queries.select("lang", "query", F.explode(neighbourhood(F.col("query"), most)).alias("key"))
-    w = words.select("lang", "word", F.explode(neighbourhood(F.col("word"), most)).alias("key"))
-    return q.join(w, ["lang", "key"]).where("query <> word").select("lang", "query", "word").distinct()
+    """``lang, query, word`` of all pairs within ``most`` edits or swaps (and some others).
+
+    A query of L letters has about L * L / 2 strings within two deletions, so long ones take another way: a dictionary
+    word of over SHORT letters is cut into segments, more than the edits can touch (a swap may touch two), so one stands
+    unchanged in the query, shifted by ``most`` places at most.
+    """
+    w_short, q_short = words.where(F.length("word") <= SHORT), queries.where(F.length("query") <= SHORT + most)
+    q = q_short.select("lang", "query", F.explode(neighbourhood(F.col("query"), most)).alias("key"))
+    w = w_short.select("lang", "word", F.explode(neighbourhood(F.col("word"), most)).alias("key"))
+    near = q.join(w, ["lang", "key"]).where("query <> word").select("lang", "query", "word")
+    parts = 2 * most + 1
+    begin = lambda size, i: F.floor(size * i / parts).cast("int")
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    w = words.where(F.length("word") > SHORT).withColumn("size", F.length("word")).withColumn("part", part)
+    w = w.select("lang", "word", "size", "part", F.substring("word", begin(F.col("size"), F.col("part")) + 1, begin(F.col("size"), F.col("part") + 1) - begin(F.col("size"), F.col("part"))).alias("key"))
+    q = queries.where(F.length("query") > SHORT - most).withColumn("size", F.explode(F.sequence(F.length("query") - most, F.length("query") + most))).where(F.col("size") > SHORT)
+    q = q.withColumn("part", part).withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    at = begin(F.col("size"), F.col("part")) + F.col("shift")
+    q = q.where(at >= 0).select("lang", "query", "size", "part", F.substring("query", at + 1, begin(F.col("size"), F.col("part") + 1) - begin(F.col("size"), F.col("part"))).alias("key"))
+    long = q.distinct().join(w, ["lang", "size", "part", "key"]).where("query <> word").select("lang", "query", "word")
+    return near.unionByName(long).distinct()
 
 
 def length_candidates(queries: DataFrame, words: DataFrame, most: int = 2) -> DataFrame:
@@ -82,15 +103,19 @@ def pattern_bonus(query: Column, word: Column) -> Column:
 
 def edit_scores(queries: DataFrame, words: DataFrame, tiers: DataFrame | None = None, most: int = 2, layout: str = "QWERTY") -> DataFrame:
     """``lang, query, word, distance, score``: edits weighted by frequency, keyboard and typing patterns; less is better."""
-    pairs = edit_candidates(queries, words, most).withColumn("lev", F.levenshtein("query", "word", 2 * most)).where("lev > 0")
-    # Plain distance 1 is exact; only above can a swap save edits, and only those pairs go through Python.
-    pairs = pairs.withColumn("distance", F.when(F.col("lev") == 1, 1).otherwise(M.osa_udf("query", "word"))).where(F.col("distance") <= most)
+    pairs = edit_candidates(queries, words, most)
+    if most <= 2:
+        distance = M.osa_within_two(F.col("query"), F.col("word"))
+    else:
+        pairs = pairs.where(F.levenshtein("query", "word", 2 * most) > 0)  # a swap saves one edit of two at most
+        distance = M.osa_udf("query", "word")
+    pairs = pairs.withColumn("distance", distance).where(F.col("distance") <= most)
     if tiers is not None:
         pairs = pairs.join(tiers.select("lang", "word", "bonus"), ["lang", "word"], "left")
     bonus = F.coalesce("bonus", F.lit(0)) if tiers is not None else F.lit(0)
     q, w = F.col("query"), F.col("word")
     score = (
-        F.col("distance") * 1000.0 - bonus + K.penalty(q, w, layout) - M.swap_bonus_udf(q, w) - pattern_bonus(q, w) + 50 * F.abs(F.length(q) - F.length(w))
+        F.col("distance") * 1000.0 - bonus + K.penalty(q, w, layout) - M.swap_bonus(q, w) - pattern_bonus(q, w) + 50 * F.abs(F.length(q) - F.length(w))
     )
     return pairs.withColumn("score", score).select("lang", "query", "word", "distance", "score")
 
@@ -203,13 +228,15 @@ def _keyboard_step(word: Column) -> Column:
     return F.when(F.length(word) > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(word)), at)))).otherwise(F.array().cast("array<string>"))
 
 
-def keyboard(queries: DataFrame, words: DataFrame, most: int = 2, min_similarity: float = 0.70) -> DataFrame:
-    """Words that exactly two keyboard slips lead to. One slip from each side meets in the middle: the query's slips and
-    the words that one more slip reaches, found through their own strings one step back."""
-    first = queries.select("lang", "query", F.explode(_keyboard_step(F.lower("query"))).alias("mid")).distinct()
-    near = edit_candidates(queries, words, most).where(F.levenshtein("query", "word", most).between(1, most))
-    near = near.where(S.similarity(F.col("query"), F.col("word")) >= min_similarity)
-    reached = near.join(first, ["lang", "query"]).where(F.levenshtein("mid", F.lower("word")) <= 5)
+def keyboard(queries: DataFrame, words: DataFrame, most: int = 2, min_similarity: float = 0.70, pairs: DataFrame | None = None) -> DataFrame:
+    """Words that exactly two keyboard slips lead to, within two plain edits and of the similarity.
+
+    The pairs that are near enough (``pairs``, where they are known already) come first, as they are few; the query's
+    slips are then kept where they are one edit from the word, and one slip more must lead there.
+    """
+    near = edit_candidates(queries, words, most) if pairs is None else pairs
+    near = near.where(F.levenshtein("query", "word", most).between(1, most) & (S.similarity(F.col("query"), F.col("word")) >= min_similarity))
+    reached = near.withColumn("mid", F.explode(_keyboard_step(F.lower("query")))).where(F.levenshtein("mid", F.lower("word"), 1) >= 0)
     hit = reached.where(F.array_contains(_keyboard_step(F.col("mid")), F.lower("word"))).select("lang", "query", "word").distinct()
     return _suggestions(hit.withColumn("distance", F.levenshtein("query", "word")), "keyboard_proximity")
 

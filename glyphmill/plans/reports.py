@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,7 +126,8 @@ def line_and_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphmill-stream-")
+    """A fresh folder that the driver and the executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_glyphmill"
     return f"{base.rstrip('/')}/stream_{uuid.uuid4().hex[:12]}"
 
 
@@ -141,18 +141,18 @@ def stream_misspellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").groupBy("doc_id").agg(F.count(F.lit(1)).alias("errors"))
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts by event type with a watermark; the last window stays open."""
+    """Hourly counts by event type with a watermark, the last windows included."""
     folder = _folder(spark)
     schema = table(spark, sf_dir, "events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
     stream = ST.read(spark, sf_dir, schema, pattern="events.parquet")
-    ST.drain(ST.event_windows(stream), f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out")
+    return ST.drain_updates(ST.event_windows(stream), f"{folder}/out", f"{folder}/state", ["start", "event_type"])
 
 
-@query()
+@query("""WITH e AS (SELECT CAST(s_suppkey AS VARCHAR) AS key, CAST(length(s_name) AS BIGINT) AS size, s_suppkey AS ts FROM supplier),
+    k AS (SELECT *, sum(size) OVER (ORDER BY ts DESC, key DESC) AS kept FROM e) SELECT key, size, ts FROM k WHERE kept > 500""")
 def eviction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as cache entries: what goes so that the rest fits."""
     s = table(spark, sf_dir, "supplier")
-    return I.eviction(s.select(F.col("s_suppkey").cast("string").alias("key"), F.length("s_name").alias("size"), F.col("s_suppkey").alias("ts")), 500)
+    return I.eviction(s.select(F.col("s_suppkey").cast("string").alias("key"), F.length("s_name").cast("bigint").alias("size"), F.col("s_suppkey").alias("ts")), 500)

@@ -37,3 +37,20 @@ def drain(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     query = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def drain_updates(rows: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Write what each batch changes, and return the last state of every key: windows still open are in it too.
+
+    A batch that is done again after a failure overwrites its own folder, so nothing is counted twice.
+    """
+    spark = rows.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    values = [c for c in rows.columns if c not in keys]
+    done = spark.read.schema(rows.schema.add("batch", "bigint")).parquet(path)
+    return done.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*")

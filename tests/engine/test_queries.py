@@ -9,7 +9,7 @@ import pytest
 
 from glyphmill import catalogue
 
-SLOW = {"suggest_ngram", "suggest_all", "suggest_keyboard", "suggest_edit_osa"}
+SLOW = {"suggest_ngram", "suggest_edit_osa"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
