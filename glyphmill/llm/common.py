@@ -6,6 +6,7 @@ import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +81,63 @@ def filter_batches(df: DataFrame, keep: Callable[[list], list[bool]], column: st
     return df.mapInArrow(run, df.schema)
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number scrambled, one to one."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2 ** 64, grown as texts need them."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate((self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))))
+            self.down = np.concatenate((self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))))
+        return self.up[:n], self.down[:n]
+
+
+class HashTable:
+    """Numbers of distinct 64-bit keys, by open addressing; ``none`` (negative) for other keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, none: int) -> None:
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.none = none
+        self.keys = np.zeros(1 << (64 - int(self.shift)), np.uint64)
+        self.values = np.full(len(self.keys), none, np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.values[slot[first]] == none]
+            self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self.values[slot]
+        at = np.flatnonzero((self.keys[slot] != keys) & (out != self.none))
+        while len(at):
+            out[at] = self.none
+            slot[at] = (slot[at] + 1) & (len(self.keys) - 1)
+            some = self.values[slot[at]] != self.none
+            hit = some & (self.keys[slot[at]] == keys[at])
+            out[at[hit]] = self.values[slot[at[hit]]]
+            at = at[some & ~hit]
+        # An empty slot's key is 0 and its number is none already.
+        return out
+
+
 _HELD: dict[str, object] = {}
 
 

@@ -245,36 +245,96 @@ def test_components_of_a_long_path_and_a_star(spark):
 # --- 4 ---
 
 
-def test_lm_scores_prefer_the_corpus_to_noise(spark, docs, texts, empty):
-    lex = lm_score.lexicon(docs)
+def test_lm_scores_match_a_plain_reading(spark, docs, texts, empty, monkeypatch):
+    monkeypatch.setattr(lm_score, "HELD", 6_000)  # more than have an output, fewer than there are
+    lex, counts = lm_score.lexicon(docs)
     net = lm_score.train(docs, lex)
-    got = _rows(lm_score.score(docs, lex, net))
+    got = _rows(lm_score.score(docs, lex, counts, net))
     assert set(got) == set(texts)
-    for i, t in texts.items():
-        assert got[i]["n_tokens"] == len(lm_score.tokens(t))
-        assert (got[i]["mean_log_likelihood"] is None) == (not lm_score.tokens(t))
-        # one document at a time gives the same sums
-    one = lm_score.Encoder(lex)([texts[10]])
-    alone = net.log_class(one[0], one[1]).sum() + one[2].sum()
-    assert abs(alone - got[10]["log_likelihood"]) < 1e-3
+    plain = lambda t: re.findall(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\s]+", (t or "").lower().encode())
+    toks = {i: plain(t) for i, t in texts.items()}
+    every = Counter(w for own in toks.values() for w in own)
+    number = {w: int(lm_score.read([w.decode()]).hash.view(np.int64)[0]) for w in every}
+    ranked = sorted(every, key=lambda w: (-every[w], number[w]))
+    rank = {w: i for i, w in enumerate(ranked)}
+    group = {w: min(len(w) // 2, 7) * 8 + w[-1] % 8 for w in every}
+    tail = ranked[lm_score.OWN :]
+    mass, kinds, pairs = Counter(), Counter(dict.fromkeys(range(64), 1)), Counter()
+    for w in tail:
+        mass[group[w]] += every[w]
+        kinds[group[w]] += 1
+    for w, n in every.items():
+        for x, y in zip([256, *w], [*w, 256], strict=True):
+            pairs[x, y] += n
+    firsts = Counter()
+    for (x, _), n in pairs.items():
+        firsts[x] += n
+    spell = lambda w: np.prod([(pairs[x, y] + 0.5) / (firsts[x] + 128.5) for x, y in zip([256, *w], [*w, 256], strict=True)])
+    output = lambda w: rank[w] if rank[w] < lm_score.OWN else lm_score.OWN + group[w]
+    softmax = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    assert len(tail) > 6_000 - lm_score.OWN
+    for i, own in toks.items():
+        assert got[i]["n_tokens"] == len(own) and (got[i]["mean_log_likelihood"] is None) == (not own)
+        mine, total, p = Counter(own), 0.0, net.p
+        assert got[i]["n_unseen"] == sum(k for w, k in mine.items() if every[w] == k and rank[w] >= lm_score.OWN)
+        if len(own) > 400:
+            continue
+        for at, w in enumerate(own):
+            near = [output(own[at + k]) + 1 if 0 <= at + k < len(own) else 0 for k in (-2, -1, 1, 2)]
+            h = np.tanh(sum(p["tables"][k][c] for k, c in enumerate(near)))
+            c, m = divmod(output(w), 64)
+            prob = softmax(h @ p["w1"] + p["b1"])[c] * softmax(h @ p["w2"][c] + p["b2"][c])[m]
+            if rank[w] >= lm_score.OWN:
+                g = group[w]
+                prob *= (every[w] - mine[w] + kinds[g] * spell(w)) / (mass[g] - mine[w] + kinds[g])
+            total += np.log(prob)
+        assert abs(total - got[i]["log_likelihood"]) < 1e-3 * max(1, len(own)), i
     noise = spark.createDataFrame([(1, " ".join(f"q{i}xvkw" for i in range(60)))], "doc_id bigint, text string")
     known = [r["mean_log_likelihood"] for i, r in got.items() if 5 <= i < 45]
-    assert lm_score.score(noise, lex, net).first()["mean_log_likelihood"] < min(known)
+    assert lm_score.score(noise, lex, counts, net, counted=False).first()["mean_log_likelihood"] < min(known)
     assert lm_score.pseudo_likelihood(empty).count() == 0
 
 
-def test_lm_training_beats_class_frequencies():
+def test_lm_weights_do_not_depend_on_how_the_table_is_split(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD", 500)
+    one, many = docs.coalesce(1), docs.repartition(7, "doc_id")
+    nets = [lm_score.train(df, lm_score.lexicon(df)[0]) for df in (one, many)]
+    assert np.abs(nets[0].vector() - nets[1].vector()).max() < 1e-5
+
+
+def test_lm_training_beats_frequencies():
     rng = random.Random(1)
     texts = [" ".join(w for _ in range(60) for w in rng.choice((["aa", "bb", "cc"], ["dd", "ee", "ff"]))) for _ in range(40)]
-    counts = Counter(w for t in texts for w in lm_score.tokens(t))
-    lex = lm_score.Lexicon(counts.most_common(), sum(counts.values()), {(97, 98): 3})
-    ids, classes, _, _ = lm_score.Encoder(lex)(texts)
-    net = lm_score.WindowNet()
-    for _ in range(8):
-        net.train(ids, classes, 0.02)
-    share = np.bincount(classes[classes >= 0]) / (classes >= 0).sum()
-    plain = (share[share > 0] * np.log(share[share > 0])).sum()
-    assert net.log_class(ids, classes).sum() / (classes >= 0).sum() > plain + 0.3
+    words = lm_score.read(texts)
+    h, g, n = lm_score._group(words.hash, words.group, np.ones(len(words), np.int64))
+    order = np.argsort(-n, kind="stable")
+    lex = lm_score.Lexicon(list(zip(h[order].view(np.int64).tolist(), n[order].tolist(), strict=True)), {}, lm_score.byte_pairs(words))
+    _, outputs = lex.places(words)
+    ctx, net = lm_score.contexts(words, outputs), lm_score.WindowNet(lex.out_mass)
+    before = net.log_prob(ctx, outputs).mean()
+    for _ in range(20):
+        net.train(ctx, outputs)
+    assert net.log_prob(ctx, outputs).mean() > before + 0.3
+
+
+def test_lm_gradients():
+    """A step moves each weight against its numerical gradient."""
+    rng = np.random.default_rng(2)
+    net = lm_score.WindowNet(np.ones(lm_score.WIDTH**2))
+    ctx, outputs = rng.integers(0, 5, (4, 50)), rng.integers(0, 200, 50)
+    loss = lambda: -net.log_prob(ctx, outputs).mean()
+    place = {"tables": (2, 3, 4), "w1": (5, 1), "b1": (2,), "w2": (1, 3, 7), "b2": (0, 9)}
+    slope = {}
+    for k, at in place.items():
+        keep = net.p[k][at]
+        net.p[k][at] = keep + 0.05
+        up = loss()
+        net.p[k][at] = keep - 0.05
+        slope[k] = (up - loss()) / 0.1
+        net.p[k][at] = keep
+    net.train(ctx, outputs)
+    for k, at in place.items():
+        assert abs(np.sqrt(net.sums[k][at] - 1e-4) - abs(slope[k])) < 2e-3, k
 
 
 # --- 5 ---
