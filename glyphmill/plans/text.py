@@ -66,7 +66,7 @@ def unique_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BASE} SELECT doc_id, CAST(sum(n) AS BIGINT) AS known FROM dw SEMI JOIN dict USING (lang, word) GROUP BY doc_id")
 def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.membership(R.word_rows(docs(spark, sf_dir)), dictionary(spark, sf_dir), ["lang", "word"], known=True)
-    return rows.groupBy("doc_id").agg(F.sum("n").alias("known"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("known"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {CHECKER_SQL}) AS t, string_split_regex(coalesce(text, ''), {CHECKER_SQL}) AS g FROM documents),

@@ -99,9 +99,9 @@ def parse_entry(line: str, options: dict) -> tuple[str, list[str], list[str]]:
 def read_dic(lines: DataFrame, options: dict, column: str = "value") -> DataFrame:
     """``stem, flags, morph`` of each line; blank lines are left out, and a first line (``line_no`` 1) that is a count.
 
-    Lines without ``line_no`` (see ``sources.lines``) have no order: then no line counts as the first. Morphology starts at a tab or at `` xx:``; an escaped slash belongs to the stem, a leading one too.
+    Lines without ``line_no`` (see ``sources.lines``) are taken as they come: a file's first row is its first line. Morphology starts at a tab or at `` xx:``; an escaped slash belongs to the stem, a leading one too.
     """
-    first = F.col("line_no") == 1 if "line_no" in lines.columns else F.lit(False)
+    first = F.col("line_no") == 1 if "line_no" in lines.columns else F.monotonically_increasing_id() == 0
     line = F.regexp_replace(F.trim(column), "^﻿", "")
     cut = F.regexp_extract(line, r"^(.*?)(?:\t|\s+(?=[A-Za-z]+:\S))(.*)$", 2)
     head = F.trim(F.when(cut == "", line).otherwise(F.regexp_extract(line, r"^(.*?)(?:\t|\s+(?=[A-Za-z]+:\S))", 1)))

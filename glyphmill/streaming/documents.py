@@ -52,5 +52,5 @@ def drain_updates(rows: DataFrame, path: str, checkpoint: str, keys: list[str])
     query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     values = [c for c in rows.columns if c not in keys]
-    done = spark.read.schema(rows.schema.add("batch", "bigint")).parquet(path)
+    done = spark.read.schema(rows.schema.add("batch", "long")).parquet(path)
     return done.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*")

@@ -9,7 +9,6 @@ import pytest
 
 from glyphmill import catalogue
 
-SLOW = {"suggest_ngram", "suggest_edit_osa"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -28,7 +27,7 @@ def _sorted(frame, columns):
     return sorted(tuple(text(v) for v in row) for row in frame[columns].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, sf, duck, name):
     got = catalogue.QUERIES[name](spark, sf).toPandas()
     if name in catalogue.ORACLE_SQL:
