@@ -68,3 +68,24 @@ def semantic_neighbors_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similarity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _adjacent(spark, sf_dir).select("vec_id", V.cosine(F.col("x"), F.col("y")).alias("sim"))
     return s.select("vec_id", F.round(V.similarity_confidence(F.col("sim")), 6).alias("confidence"), V.similarity_distance(F.col("sim")).cast("bigint").alias("distance"), V.band(F.col("sim")).alias("band"))
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(CASE WHEN a.vec_id = b.vec_id THEN 1.0 ELSE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END, 6)::DOUBLE AS sim
+    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <= b.vec_id WHERE a.vec_id % 5 = b.vec_id % 5""")
+def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities inside each group of one label and one fifth of the ids."""
+    e = table(spark, sf_dir, "embeddings").withColumn("g", F.col("label") * 5 + F.col("vec_id") % 5)
+    return V.similarities(e, "g").select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query, v.vec_id AS word, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS sim
+      FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id WHERE sim >= 0.5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(sim, 9) DESC, v.vec_id) <= 15),
+    c AS (SELECT s.query, s.word, s.sim, s.sim + 0.02 * coalesce(list_cosine_similarity(w.embedding::DOUBLE[], x.embedding::DOUBLE[]), 0) AS score
+      FROM s JOIN embeddings w ON w.vec_id = s.word LEFT JOIN embeddings x ON x.vec_id = s.query + 1)
+    SELECT query, word, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, CAST(word AS VARCHAR)) AS rank FROM c QUALIFY rank <= 5""")
+def semantic_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as words named by their ids: corrections of every hundredth one, with the next one as its context."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("word"), "embedding", "vec_id")
+    asked = e.where("vec_id % 100 = 0").select(F.col("word").alias("query"), F.array((F.col("vec_id") + 1).cast("string")).alias("context"))
+    out = V.corrections(asked, e.select("word", "embedding"))
+    return out.select(F.col("query").cast("bigint").alias("query"), F.col("word").cast("bigint").alias("word"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))

@@ -135,3 +135,27 @@ def test_dictionaries_and_policies(spark):
     assert tuple(one) == (False, True, True)
     entries = spark.createDataFrame([("a", 5, 1), ("b", 5, 2), ("c", 5, 3)], "key string, size int, ts int")
     assert [r["key"] for r in I.eviction(entries, 10).collect()] == ["a"]
+
+
+def test_nearest_in_blocks_equals_one_broadcast(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(90)] + [(90, None), (91, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    key = lambda out: sorted((r["query"], r["rank"], r["id"], round(r["sim"], 9)) for r in out.collect())
+    whole = key(V.nearest(df, df, 4, -1.0))
+    monkeypatch.setattr(V, "BLOCK", 20)
+    monkeypatch.setattr(V, "VECTORS", 30)
+    assert key(V.nearest(df, df, 4, -1.0)) == whole and len(whole) == 91 * 4
+    assert V.nearest(df.limit(0), df, 4).count() == 0
+
+
+def test_corrections_by_meaning(spark):
+    vecs = [("cat", [1.0, 0.0]), ("kitten", [0.9, 0.1]), ("dog", [0.7, 0.7]), ("car", [0.0, 1.0])]
+    v = spark.createDataFrame(vecs, "word string, embedding array<double>")
+    q = spark.createDataFrame([("cat", ["car"]), ("dgo", []), ("zzzzz", ["cat"])], "query string, context array<string>")
+    rows = {}
+    for r in V.corrections(q, v, 2).collect():
+        rows.setdefault(r["query"], {})[r["rank"]] = r["word"]
+    assert rows == {"cat": {1: "kitten", 2: "dog"}, "dgo": {1: "dog"}}
+    fit = V.context_fit(spark.createDataFrame([("q", "cat", ["car", "cat"]), ("q", "dog", [])], "query string, word string, context array<string>"), v)
+    assert {r["word"]: round(r["fit"], 6) for r in fit.collect()} == {"cat": 0.5, "dog": 0.5}
