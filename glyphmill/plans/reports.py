@@ -56,7 +56,7 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def report_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.sarif(G.check(docs(spark, sf_dir), tuple(r for r in G.ENGLISH if r.kind in ("vowel", "sentence"))))
+    return S.sarif(G.check(docs(spark, sf_dir)))
 
 
 @query(f"""WITH {BASE} SELECT substr(sha256(doc_id || ':' || word), 1, 16) AS id, doc_id, word AS original, round(100.0::DOUBLE / (1 + n), 1) AS confidence_pct,

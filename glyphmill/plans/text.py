@@ -182,7 +182,20 @@ def capitalization_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("token", S.capitalisation(F.col("token")).alias("kind"))
 
 
-@query()
+_TITLE = "upper(low[1]) || low[2:]"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), {CHECKER_SQL})) AS token FROM documents),
+    k AS (SELECT token, lower(token) AS low, CASE WHEN lower(token) = token THEN 'NO' WHEN upper(token) = token THEN 'ALL'
+      WHEN upper(token[1]) = token[1] THEN CASE WHEN lower(token[2:]) = token[2:] THEN 'INIT' ELSE 'HUHINIT' END ELSE 'HUH' END AS kind FROM t),
+    v AS (SELECT *, {_TITLE} AS title, lower(token[1]) || token[2:] AS small FROM k)
+    SELECT token,
+      token || CASE WHEN kind IN ('INIT', 'ALL') AND low <> token THEN ' ' || low ELSE '' END || CASE WHEN kind = 'ALL' AND title <> token AND title <> low THEN ' ' || title ELSE '' END
+        || CASE WHEN kind = 'HUHINIT' AND small <> token THEN ' ' || small ELSE '' END AS variants,
+      token || CASE WHEN kind = 'HUHINIT' AND small <> token THEN ' ' || small ELSE '' END
+        || CASE WHEN kind IN ('INIT', 'ALL', 'HUH') AND low <> token OR kind = 'HUHINIT' AND low <> token AND low <> small THEN ' ' || low ELSE '' END
+        || CASE WHEN kind IN ('ALL', 'HUHINIT') AND title <> token AND title <> low AND (kind = 'ALL' OR title <> small) THEN ' ' || title ELSE '' END AS corrections,
+      CASE WHEN kind IN ('INIT', 'HUHINIT') THEN title WHEN kind = 'ALL' THEN upper(low) ELSE low END AS coerced FROM v""")
 def case_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = docs(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
     w = F.col("token")
