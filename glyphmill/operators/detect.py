@@ -87,3 +87,24 @@ def segments(
     return marked.groupBy(doc_col, "segment", "code").agg(
         F.min(order_col).alias("first"), F.max(order_col).alias("last"), F.count(F.lit(1)).alias("nodes"), F.avg("confidence").alias("confidence")
     )
+
+
+def detect_with(df: DataFrame, model, k: int = 3, text_col: str = "text", id_col: str = "doc_id", chars: int = 501) -> DataFrame:
+    """``id, code, share, rank`` by an outside model: ``model(texts) -> [[(code, share), ...], ...]``, called with batches
+    of the texts' first ``chars`` characters, as such models read no more. Without a model the rules above answer."""
+    if model is None:
+        return candidates(df, k, text_col, id_col)
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [sorted(x, key=lambda c: -c[1])[:k] for x in model(part.column(1).to_pylist())]
+                rows = [(i, code, float(share), n + 1) for i, x in enumerate(found) for n, (code, share) in enumerate(x)]
+                where = pa.array([r[0] for r in rows], pa.int64())
+                rest = [pa.array([r[c] for r in rows], t) for c, t in ((1, pa.string()), (2, pa.float64()), (3, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), *rest], [id_col, "code", "share", "rank"])
+
+    head = df.select(id_col, F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, chars).alias("t"))
+    return head.mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, code string, share double, rank int")

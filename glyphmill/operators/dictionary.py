@@ -113,3 +113,8 @@ def tiers(counts: DataFrame) -> DataFrame:
     ranked = counts.withColumn("rank", rank).where("rank <= 1000")
     bonus = F.when(F.col("rank") <= 50, 200).when(F.col("rank") <= 200, 100).otherwise(50)
     return ranked.select("lang", "word", F.col("rank").cast("bigint").alias("rank"), bonus.cast("bigint").alias("bonus"))
+
+
+def sub_vocabulary(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
+    """The vocabulary's rows whose word is in the list."""
+    return vocabulary.join(words.select("word").distinct(), "word", "left_semi")

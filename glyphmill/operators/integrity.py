@@ -66,3 +66,32 @@ def metrics(events: DataFrame) -> DataFrame:
 def hit_rate(rows: DataFrame, hit: Column) -> DataFrame:
     hits = F.sum(F.when(hit, 1).otherwise(0))
     return rows.agg(hits.alias("hits"), F.count(F.lit(1)).alias("n"), F.round(hits / F.count(F.lit(1)), 4).alias("rate"))
+
+
+#: Days for which a kept resource counts as fresh. Fixed values.
+LIFETIMES = {"spelling": 7, "grammar": 7, "frequency": 30, "model": 30}
+
+
+def keep_resource(df: DataFrame, folder: str, kind: str, lang: str) -> None:
+    """Write a parsed resource with the time of writing; the one before it is replaced."""
+    df.withColumn("kept_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{kind}/{lang}")
+
+
+def kept_resource(spark, folder: str, kind: str, lang: str, now: Column | None = None) -> DataFrame | None:
+    """A resource that is kept and still fresh, else none."""
+    from glyphmill.sources.lines import first_that_exists
+
+    path = f"{folder.rstrip('/')}/{kind}/{lang}"
+    if first_that_exists(spark, [path]) is None:
+        return None
+    df = spark.read.parquet(path)
+    old = df.agg(F.max("kept_at").alias("t")).select(expired(F.col("t").cast("string"), now if now is not None else F.current_timestamp(), LIFETIMES[kind]).alias("old"))
+    return None if old.first()["old"] else df.drop("kept_at")
+
+
+def observed(df: DataFrame, name: str, **metrics: Column):
+    """The table, and an observation that holds the metrics once it has been read."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), seen

@@ -43,8 +43,9 @@ def neighbourhood(word: Column, depth: int) -> Column:
 SHORT = 20
 
 
-def edit_candidates(queries: DataFrame, words: DataFrame, most: int = 2) -> DataFrame:
-    """``lang, query, word`` of all pairs within ``most`` edits or swaps (and some others).
+def edit_candidates(queries: DataFrame, words: DataFrame, most: int = 2, swaps: bool = True) -> DataFrame:
+    """``lang, query, word`` of all pairs within ``most`` edits or swaps (and some others); without ``swaps`` exactly those
+    within ``most`` plain edits. Pairs meet at several keys, so what is too far apart goes before repeats do.
 
     A query of L letters has about L * L / 2 strings within two deletions, so long ones take another way: a dictionary
     word of over SHORT letters is cut into segments, more than the edits can touch (a swap may touch two), so one stands
@@ -53,7 +54,8 @@ def edit_candidates(queries: DataFrame, words: DataFrame, most: int = 2) -> Data
     w_short, q_short = words.where(F.length("word") <= SHORT), queries.where(F.length("query") <= SHORT + most)
     q = q_short.select("lang", "query", F.explode(neighbourhood(F.col("query"), most)).alias("key"))
     w = w_short.select("lang", "word", F.explode(neighbourhood(F.col("word"), most)).alias("key"))
-    near = q.join(w, ["lang", "key"]).where("query <> word").select("lang", "query", "word")
+    close = (F.col("query") != F.col("word")) & (F.levenshtein("query", "word", 2 * most if swaps else most) >= 0)
+    near = q.join(w, ["lang", "key"]).where(close).select("lang", "query", "word")
     parts = 2 * most + 1
     begin = lambda size, i: F.floor(size * i / parts).cast("int")
     part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
@@ -63,7 +65,7 @@ def edit_candidates(queries: DataFrame, words: DataFrame, most: int = 2) -> Data
     q = q.withColumn("part", part).withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
     at = begin(F.col("size"), F.col("part")) + F.col("shift")
     q = q.where(at >= 0).select("lang", "query", "size", "part", F.substring("query", at + 1, begin(F.col("size"), F.col("part") + 1) - begin(F.col("size"), F.col("part"))).alias("key"))
-    long = q.distinct().join(w, ["lang", "size", "part", "key"]).where("query <> word").select("lang", "query", "word")
+    long = q.distinct().join(w, ["lang", "size", "part", "key"]).where(close).select("lang", "query", "word")
     return near.unionByName(long).distinct()
 
 
@@ -76,7 +78,7 @@ def length_candidates(queries: DataFrame, words: DataFrame, most: int = 2) -> Da
 
 def by_levenshtein(queries: DataFrame, words: DataFrame, most: int = 2, k: int = 5) -> DataFrame:
     """The k nearest words by plain edit distance, then alphabet."""
-    near = edit_candidates(queries, words, most).withColumn("distance", F.levenshtein("query", "word", most)).where("distance > 0")
+    near = edit_candidates(queries, words, most, swaps=False).withColumn("distance", F.levenshtein("query", "word"))
     w = Window.partitionBy("lang", "query").orderBy("distance", "word")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -234,7 +236,7 @@ def keyboard(queries: DataFrame, words: DataFrame, most: int = 2, min_similarity
     The pairs that are near enough (``pairs``, where they are known already) come first, as they are few; the query's
     slips are then kept where they are one edit from the word, and one slip more must lead there.
     """
-    near = edit_candidates(queries, words, most) if pairs is None else pairs
+    near = edit_candidates(queries, words, most, swaps=False) if pairs is None else pairs
     near = near.where(F.levenshtein("query", "word", most).between(1, most) & (S.similarity(F.col("query"), F.col("word")) >= min_similarity))
     reached = near.withColumn("mid", F.explode(_keyboard_step(F.lower("query")))).where(F.levenshtein("mid", F.lower("word"), 1) >= 0)
     hit = reached.where(F.array_contains(_keyboard_step(F.col("mid")), F.lower("word"))).select("lang", "query", "word").distinct()
@@ -309,3 +311,55 @@ def language_edits(queries: DataFrame, words: DataFrame, k: int = 10) -> DataFra
     valid = tries.where("word <> query").join(words, ["lang", "word"], "left_semi").withColumn("distance", F.levenshtein("query", "word"))
     order = Window.partitionBy("lang", "query").orderBy("distance", "word")
     return valid.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("lang", "query", "word", "distance", "rank")
+
+
+#: First parts that German compounds often have. Fixed values.
+GERMAN_HEADS = (
+    "Arbeits Baum Bau Bauern Berg Buch Dach Dollar Dorf Ein Frauen Feuer Finanz Flug Franz Frei Haupt Haus Hoch Jahr Jung Kinder Klein Konsum Land Lehr "
+    "Leben Leute Mann MarktMein Milli Morgen Mutter Natur Papier Polizei Post Problem Recht Rhein Rot Sache Schule Schiff Schritt See Sozial Stadt Stein "
+    "Steuer Strom Tag Teil Tier Tor Tour Typ Uhr Umwelt Unter Volk Wasser Weg Welt Zeit Wein"
+).split()
+#: Kana that are written for one another: what may stand for each. Fixed values.
+KANA = (
+    "あ=ああ い=いい う=うう え=ええ お=おお か=かが き=きぎ く=くぐ け=けげ こ=こご さ=さざ し=しじ す=すず せ=せぜ そ=そぞ た=ただ ち=ちぢ つ=つづ て=てで と=とど "
+    "は=はば ひ=ひび ふ=ふぶ へ=へべ ほ=ほぼ ま=まま み=みみ む=むむ め=めめ も=もも や=やや ゆ=ゆゆ よ=よよ ら=らら り=りり る=るる れ=れれ ろ=ろろ わ=わわ を=お"
+).split()
+
+
+def german_compounds(queries: DataFrame, words: DataFrame) -> DataFrame:
+    """``lang, query, word``: words of over ten letters that begin with a known first part, as two words, where both are
+    in the dictionary."""
+    spark = queries.sparkSession
+    heads = spark.createDataFrame([(h,) for h in GERMAN_HEADS], "head string").distinct()
+    own = words.select("lang", "word")
+    heads = F.broadcast(heads.join(own.select("lang", F.col("word").alias("head")), "head"))  # at most the list above
+    split = queries.where(F.length("query") > 10).join(heads, "lang").where(F.expr("startswith(query, head)"))
+    split = split.withColumn("rest", F.expr("substring(query, length(head) + 1)"))
+    good = split.join(own.select("lang", F.col("word").alias("rest")), ["lang", "rest"], "left_semi")
+    return good.select("lang", "query", F.concat_ws(" ", "head", "rest").alias("word"))
+
+
+def japanese(queries: DataFrame, words: DataFrame, k: int = 10) -> DataFrame:
+    """Kana exchanged where that gives a word, then words within two edits (for two characters or more); each once."""
+    near = F.create_map(*[F.lit(x) for pair in KANA for x in pair.split("=")])
+    q = F.col("query")
+
+    def at(i: Column) -> Column:
+        other = F.try_element_at(near, F.substring(q, i, F.lit(1)))
+        return F.concat(F.substring(q, F.lit(1), i - 1), other, F.substring(q, i + 1, F.length(q)))
+
+    made = queries.where("query <> ''").select("lang", "query", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(q)), at)).alias("place", "word"))
+    made = made.where("word is not null").join(words, ["lang", "word"], "left_semi").select("lang", "query", "word", F.lit(0).alias("part"), "place")
+    typed = by_levenshtein(queries.where(F.length("query") >= 2), words, 2, 2 * k).select("lang", "query", "word", F.lit(1).alias("part"), F.col("rank").alias("place"))
+    once = made.unionByName(typed).groupBy("lang", "query", "word").agg(F.min(F.struct("part", "place")).alias("at"))
+    order = Window.partitionBy("lang", "query").orderBy("at", "word")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("lang", "query", "word", "rank")
+
+
+def chosen(settings: dict[str, dict]) -> tuple[str, ...]:
+    """Names of the strategies that are enabled, by rising priority (100 where none is given), then by name.
+
+    ``settings``: for each name ``enabled`` and ``priority``; what a name lacks has its default.
+    """
+    on = [n for n in STRATEGIES if settings.get(n, {}).get("enabled", n in DEFAULT)]
+    return tuple(sorted(on, key=lambda n: (settings.get(n, {}).get("priority", 100), n)))

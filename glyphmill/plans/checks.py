@@ -79,7 +79,7 @@ for _name, _char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#
     _ENTITIES = f"replace({_ENTITIES}, '&{_name};', '{_char}')"
 
 
-@query(rf"""SELECT page_id, trim(regexp_replace(regexp_replace({_ENTITIES}, '[^\S\n]+', ' ', 'g'), ' *\n\s*', chr(10), 'g'), ' ') AS text FROM pages""")
+@query(rf"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_ENTITIES}, '[^\S\n]+', ' ', 'g'), ' *\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
 def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", R.parse(F.col("html"), "html").alias("text"))
 

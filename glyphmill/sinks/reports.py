@@ -76,3 +76,33 @@ def hunspell_line(kind: Column, flag: Column, strip: Column, add: Column, cond:
     """An affix rule as a line of an affix file."""
     zero = lambda c: F.when(c == "", "0").otherwise(c)
     return F.concat_ws(" ", kind, flag, zero(strip), zero(add), F.when(cond == "", ".").otherwise(cond))
+
+
+def with_statistics(errors: DataFrame) -> DataFrame:
+    """``json``: one row, the batch report's statistics: documents with errors, errors, and errors by type."""
+    by = errors.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
+    types = by.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("error_type", "n")))).alias("by_type"))
+    total = errors.agg(F.count(F.lit(1)).alias("errors"), F.countDistinct("doc_id").alias("documents"))
+    return total.join(types).select(F.to_json(F.struct("documents", "errors", "by_type")).alias("json"))  # one row each
+
+
+def yaml_lines(errors: DataFrame) -> DataFrame:
+    """``doc_id, yaml``: a document's errors as a YAML list; texts are quoted as JSON, which YAML reads alike."""
+    quote = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r'^\{"x":(.*)\}$', "$1")
+    each = F.concat(F.lit("  - pos: "), F.col("pos").cast("string"), F.lit("\n    original: "), quote(F.col("original")))
+    rows = errors.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", each.alias("y")))).alias("all"))
+    return rows.select("doc_id", F.concat(F.lit("- id: "), F.col("doc_id").cast("string"), F.lit("\n  errors:\n"), F.array_join("all.y", "\n")).alias("yaml"))
+
+
+def rotate_audit(spark, path: str, most_bytes: int) -> str | None:
+    """Move an audit log over the limit aside, under a name with the next number; the name, or none if it stays."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    here = jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(conf)
+    if not fs.exists(here) or fs.getContentSummary(here).getLength() <= most_bytes:
+        return None
+    n = 1
+    while fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}.{n}")):
+        n += 1
+    fs.rename(here, jvm.org.apache.hadoop.fs.Path(f"{path}.{n}"))
+    return f"{path}.{n}"

@@ -21,7 +21,7 @@ def html(source: Column) -> Column:
     for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
     text = F.regexp_replace(text, r"[^\S\n]+", " ")
-    return F.trim(F.regexp_replace(text, r" *\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(text, r" *\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def markdown(source: Column) -> Column:
