@@ -25,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges ``a, b`` (longs) but the roots; the root is the smallest node.
 
     Each round halves path lengths or better, so the number of rounds is logarithmic in the longest path. A round's
-    edges are written to the checkpoint folder, never kept on one executor or the driver. Self-loops are ignored and
-    repeated edges count once; without edges the result is empty.
+    edges are written to the checkpoint folder, never kept on one executor or the driver. Self-loops and edges
+    with a null are ignored and repeated edges count once; without edges the result is empty.
     """
     now = checkpointed(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

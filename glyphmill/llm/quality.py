@@ -77,7 +77,9 @@ def evidence(df: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
         part = own.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(MAX_DOCS)
         ids = part if ids is None else ids.unionByName(part)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = sorted((r["id"], r["text"], r["y"]) for r in texts.join(F.broadcast(ids), "id").na.fill({"text": ""}).dropDuplicates(["id"]).collect())
+    # Of several rows with one id the text with the smallest hash is learnt, however the table is split.
+    first = texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
+    rows = sorted((r["id"], r["text"], r["y"]) for r in first.collect())
     model = fit([(t, y) for _, t, y in rows])
     share = own.agg(F.avg("y")).first()[0]
     share = 0.5 if share is None else min(0.999, max(0.001, share))

@@ -192,6 +192,14 @@ def test_keep_one_drops_near_copies_only(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_leaves_columns_of_any_name(spark, docs):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert {(r["id"], r["row"], r["node"], r["fp"], r["size"]) for r in rows} == {("clash", 1, "n", 2, 3)}
+    assert {0, 1, 2} <= {r["doc_id"] for r in rows}
+
+
 def _jaccard_components(texts: dict[int, str]):
     sets = {}
     for i, t in texts.items():
@@ -478,6 +486,38 @@ def test_quality_shrinks_sparse_sites(spark, empty):
     assert quality.posterior(e, lab, e["host"], e["path"]).count() == 0
 
 
+def test_quality_matches_the_formulas(spark):
+    rng = random.Random(31)
+    rows = [(i, " ".join(rng.choice(["word", "!!!", "The", "x1"]) for _ in range(rng.randint(1, 40))), rng.choice(["a", "b", "c", None]), rng.choice(["p", "q"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, host string, path string")
+    labels = spark.createDataFrame([(i, int("!!!" not in t[:40])) for i, t, _, _ in rows if i % 2], "doc_id bigint, quality int")
+    got = _rows(quality.posterior(df, labels, F.col("host"), F.col("path")))
+    q = {i: r["evidence"] for i, r in got.items()}
+    hosts: dict = {}
+    paths: dict = {}
+    for i, r in got.items():
+        hosts.setdefault(r["host"], []).append(q[i])
+        paths.setdefault((r["host"], r["path"]), []).append(q[i])
+    mean = min(0.999, max(0.001, sum(q.values()) / len(q)))
+
+    def strength(groups):  # pairs of a group's values and the mean they are held against
+        dev = sum((sum(v) - len(v) * m) ** 2 for v, m in groups)
+        chance = sum(len(v) * m * (1 - m) for v, m in groups)
+        room = sum(len(v) * (len(v) - 1) * m * (1 - m) for v, m in groups)
+        rho = (dev - chance) / room
+        return 1e6 if rho <= 0 else max(0.5, min(1e6, 1 / rho - 1))
+
+    m_host = strength([(v, mean) for v in hosts.values()])
+    host_mean = {h: (sum(v) + m_host * mean) / (len(v) + m_host) for h, v in hosts.items()}
+    m_path = strength([(v, host_mean[h]) for (h, _), v in paths.items()])
+    logit = lambda p: np.log(p / (1 - p))
+    for i, r in got.items():
+        own = paths[r["host"], r["path"]]
+        path_mean = min(0.999, max(0.001, (sum(own) - q[i] + m_path * host_mean[r["host"]]) / (len(own) - 1 + m_path)))
+        want = 1 / (1 + np.exp(-(logit(q[i]) + logit(path_mean) - logit(mean))))
+        assert abs(r["host_mean"] - host_mean[r["host"]]) < 1e-9 and abs(r["path_mean"] - path_mean) < 1e-9 and abs(r["score"] - want) < 1e-6
+
+
 # --- 8 ---
 
 
