@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import checkpointed, map_batches, on_workers
+from glyphmill.llm.common import checkpointed, fresh_name, map_batches, on_workers
 from glyphmill.llm.components import components
 from glyphmill.llm.decontam import WordHashes
 
@@ -301,58 +301,85 @@ def near_duplicates(df: DataFrame, shingle: int = 4, max_bits: int = 4, id_col:
 #: Shingles taken as common, from a sample of the rows: they come last in the order of prefixes. This bounds a
 #: broadcast and changes only how many candidates there are, not what is found.
 COMMON, SAMPLE, COMMON_LEAST = 50_000, 16, 3
-#: A shingle's rows meet this many of them before all of them.
+#: Where the rows of a shingle are in several components, this many of them meet all of it before the rest does.
 PIVOTS = 16
+#: Words of 64 bits in a long fingerprint. Its first word goes through the Gray-order index.
+LONG, FEW = 4, 32
+#: Sets of nodes of up to so many rows (8 bytes each) are sent to all executors; larger ones are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 
 
-def _common(marked: DataFrame, shingle: int, text_col: str) -> np.ndarray:
+def most_bits(similarity: float) -> int:
+    """Differing bits of long fingerprints beyond which a pair is not tested. Two sets of this Jaccard similarity differ
+    in a bit with a probability of acos(2s / (1 + s)) / pi at most; eight standard deviations of 64 x LONG bits above
+    that lie beyond any pair to be met (under 1e-14 each)."""
+    n, p = 64 * LONG, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(n * p + 8 * math.sqrt(n * p * (1 - p)))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Two sets of at least this Jaccard similarity share one of so many first elements, in any one order of all."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def long_fingerprint(hashes: np.ndarray) -> list[int]:
+    """LONG words of SimHash of a set of shingle hashes, as signed integers."""
+    out = []
+    for _ in range(LONG):
+        out.append(signed(majority_bits(hashes)))
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    return out
+
+
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
     """Hashes of the shingles that most sampled rows share, by rising count."""
     hashes = WordHashes(shingle)
 
     def run(texts: list) -> dict[str, list]:
         return {"h": np.concatenate([np.empty(0, np.uint64), *(np.unique(hashes(words(t))) for t in texts)]).view(np.int64).tolist()}
 
-    sampled = map_batches(marked.where(F.pmod("node", F.lit(SAMPLE)) == 0), run, [text_col], "h bigint")
+    sampled = map_batches(texts.where(F.pmod("node", F.lit(SAMPLE)) == 0), run, ["text"], "h bigint")
     often = sampled.groupBy("h").count().where(F.col("count") >= COMMON_LEAST)
     top = often.orderBy(F.col("count").desc(), "h").limit(COMMON).collect()
     return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    """Two sets of at least this Jaccard similarity share one of so many first elements, in any one order of all."""
-    return n - math.ceil(similarity * n - 1e-9) + 1
-
-
-def prefixes(marked: DataFrame, similarity: float, shingle: int, text_col: str = "text") -> DataFrame:
-    """``node, n, keys array<bigint>``: how many distinct shingles, and the prefix of their hashes, common ones last."""
-    common = _common(marked, shingle, text_col)
+def prints(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Of ``node, text``: ``node, n, fp array<bigint>, keys array<bigint>``: how many distinct shingles, the long
+    fingerprint, and the prefix of the shingles' hashes, common ones last. Wordless texts have no row."""
+    common = _common(texts, shingle)
     order = np.argsort(common, kind="stable")
-    load = on_workers(marked.sparkSession, (common[order], order), lambda x: (WordHashes(shingle), *x))
+    load = on_workers(texts.sparkSession, (common[order], order), lambda x: (WordHashes(shingle), *x))
 
     def run(nodes: list, texts: list) -> dict[str, list]:
         hashes, known, rank = load()
-        sizes, keys = [], []
-        for t in texts:
+        out: dict[str, list] = {"node": [], "n": [], "fp": [], "keys": []}
+        for node, t in zip(nodes, texts, strict=True):
             own = first = np.unique(hashes(words(t)))
-            if len(known) and len(own):
+            if not len(own):
+                continue
+            if len(known):
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 hit = known[at] == own
                 first = np.concatenate((own[~hit], own[hit][np.argsort(rank[at[hit]], kind="stable")]))
-            sizes.append(len(own))
-            keys.append(first[: prefix_length(len(own), similarity)] if len(own) else own)
-        return {"node": nodes, "n": sizes, "keys": _lists(keys)}
+            out["node"].append(node)
+            out["n"].append(len(own))
+            out["fp"].append(long_fingerprint(own))
+            out["keys"].append(first[: prefix_length(len(own), similarity)])
+        return out | {"keys": _lists(out["keys"])}
 
-    return map_batches(marked, run, ["node", text_col], "node bigint, n int, keys array<bigint>")
+    return map_batches(texts, run, ["node", "text"], "node bigint, n int, fp array<bigint>, keys array<bigint>")
 
 
-def shingle_sets(marked: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """``node, parts array<bigint>``: the hashes of a row's distinct shingles."""
     hashes = WordHashes(shingle)
 
     def run(nodes: list, texts: list) -> dict[str, list]:
         return {"node": nodes, "parts": _lists([np.unique(hashes(words(t))) for t in texts])}
 
-    return map_batches(marked, run, ["node", text_col], "node bigint, parts array<bigint>")
+    return map_batches(texts, run, ["node", "text"], "node bigint, parts array<bigint>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -361,96 +388,93 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-_POSTS = "key bigint, run int, node bigint, n int, at int, head bigint, head_n int, head_at int, rows bigint"
-
-
-def _shared(similarity: float):
-    """Of rows sorted by key, those whose key others of fitting size have too, with the first node of each such run."""
+def _small(nodes: DataFrame) -> DataFrame:
+    """The (checkpointed) nodes, marked for sending to all executors where their count allows it."""
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
-            if held[0][0][0] != held[-1][0][-1]:
-                now = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                last = np.searchsorted(now[0], now[0][-1])
-                held = [tuple(x[last:] for x in now)]
-                yield _posts(*(x[:last] for x in now), similarity)
-        if held:
-            yield _posts(*(np.concatenate(x) for x in zip(*held, strict=True)), similarity)
-
-    return run
 
+class _Verifier:
+    """Which pairs of nodes have at least the similarity: first by their long fingerprints, then by their sets."""
 
-def _posts(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> pa.RecordBatch:
-    order = np.lexsort((node, n, key))
-    key, node, n, at = (x[order] for x in (key, node, n, at))
-    once = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))  # repeated rows share a node
-    key, node, n, at = (x[once] for x in (key, node, n, at))
-    # No row on one side of a gap in size is similar to one on the other side.
-    starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (n[:-1] < similarity * n[1:] - 1e-9))))
-    sizes = np.diff(np.concatenate((starts, [len(key)])))
-    two = starts[sizes == 2]
-    most = np.minimum(n[two] - at[two], n[two + 1] - at[two + 1])
-    sizes[sizes == 2] = np.where(most * (1 + similarity) >= similarity * (n[two] + n[two + 1]) - 1e-9, 2, -2)
-    rows, run = sizes.repeat(np.abs(sizes)), n[starts].repeat(np.abs(sizes))
-    many = rows > 1
-    cols = [x[many] for x in (key, run, node, n, at, rows)]
-    sizes = sizes[sizes > 1]
-    order = np.lexsort((cols[2], np.arange(len(sizes)).repeat(sizes)))
-    key, run, node, n, at, rows = (x[order] for x in cols)
-    first = (np.cumsum(sizes) - sizes).repeat(sizes)
-    out = (key, run, node, n, at, node[first], n[first], at[first], rows)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[c.split()[0] for c in _POSTS.split(", ")])
-
-
-def similar_links(marked: DataFrame, similarity: float, shingle: int, text_col: str = "text") -> DataFrame:
-    """``a, b``: pairs of nodes of at least this similarity, enough to connect all that are linked by such pairs.
-
-    Every pair that shares a shingle of both prefixes, at places that leave room for enough others, is a candidate.
-    A candidate is left out only once its ends are joined by pairs that have passed the exact test: the rows of a
-    shingle are tested first with one of them, then, where their components still differ, with some of them, then
-    each with each. Only rows with a candidate have their sets built and moved.
-    """
-    posted = prefixes(marked, similarity, shingle, text_col).select("node", "n", F.posexplode("keys").alias("at", "key"))
-    grouped = posted.select("key", "node", "n", "at").repartition("key").sortWithinPartitions("key")
-    posts = checkpointed(grouped.mapInArrow(_shared(similarity), _POSTS))
-
-    def room(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
-        most = F.least(F.col(n_a) - F.col(at_a), F.col(n_b) - F.col(at_b))
-        return most * (1 + similarity) >= similarity * (F.col(n_a) + F.col(n_b)) - F.lit(1e-9)
+    def __init__(self, texts: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> None:
+        self.texts, self.similarity, self.shingle = texts, similarity, shingle
+        self.rows = rows.select("node", "n", "fp")
 
-    def passed(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    def passed(self, pairs: DataFrame) -> DataFrame:
+        """``a, b`` of the pairs that pass. Only nodes of pairs that the fingerprints let through have their sets built
+        and moved."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        for side in ("a", "b"):
+            own = self.rows.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("fp").alias(f"fp_{side}"))
+            pairs = pairs.join(own, side)
+        apart = sum((F.bit_count(F.col("fp_a")[i].bitwiseXOR(F.col("fp_b")[i])) for i in range(LONG)), F.lit(0))
+        fits = F.least("n_a", "n_b") >= self.similarity * F.greatest("n_a", "n_b") - F.lit(1e-9)
+        like = (apart <= most_bits(self.similarity)) | (F.least("n_a", "n_b") < FEW)  # few shingles make coarse bits
+        pairs = checkpointed(pairs.where(fits & like).select("a", "b"))
+        nodes = checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        own = self.texts.join(_small(nodes), "node", "left_semi").dropDuplicates(["node"])
+        sets = checkpointed(shingle_sets(own, self.shingle))
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}")), side)
         both = F.size(F.array_intersect("parts_a", "parts_b"))
-        near = both >= similarity * (F.size("parts_a") + F.size("parts_b") - both) - F.lit(1e-9)
+        near = both >= self.similarity * (F.size("parts_a") + F.size("parts_b") - both) - F.lit(1e-9)
         return checkpointed(pairs.where(near).select("a", "b"))
 
-    star = posts.where((F.col("node") != F.col("head")) & room("n", "at", "head_n", "head_at"))
-    able = posts.select("node").distinct()
-    texts = marked.select("node", text_col).join(able, "node", "left_semi").dropDuplicates(["node"])
-    sets = checkpointed(shingle_sets(texts, shingle, text_col))
-    links = passed(star.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    whole = 4 * PIVOTS  # a shingle of up to so many rows has all its pairs tested at once
-    for least, every in ((2, False), (whole, True)):
+
+def _by_fingerprint(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``a, b``: candidates of the Gray-order index over the first words of the fingerprints: of rows with one
+    fingerprint each with the least node, and of linked fingerprints their least nodes."""
+    rows = rows.select("node", F.col("fp")[0].alias("fp"))
+    by_fp = checkpointed(rows.groupBy("fp").agg(F.min("node").alias("least")))
+    same = rows.join(by_fp, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    edges = forest(by_fp.select(F.lit(0).alias("t"), "fp"), max_bits).select(F.col("a").alias("fp"), F.col("b").alias("other"))
+    linked = edges.join(by_fp, "fp").select(F.col("least").alias("a"), F.col("other").alias("fp"))
+    return same.union(linked.join(by_fp, "fp").select("a", F.col("least").alias("b")))
+
+
+def similar_links(texts: DataFrame, similarity: float, shingle: int, max_bits: int = 4) -> DataFrame:
+    """``a, b``: pairs of nodes of at least this similarity, enough to connect all that are linked by such pairs.
+
+    The index over fingerprints gives the first candidates, which join the great mass of near copies. Its limit in bits
+    is too tight for pairs close to the similarity, so an exact search follows: every pair that shares a shingle of both
+    prefixes, at places that leave room for enough others, is a candidate too. One is left out only once its ends are
+    joined by pairs that have passed the exact test: the rows of a shingle are tested with its least node, then, where
+    their components still differ, with some of them; at last every row outside the shingle's largest component meets
+    all rows of other components.
+    """
+    rows = checkpointed(prints(texts, similarity, shingle).dropDuplicates(["node"]))
+    verifier = _Verifier(texts, rows, similarity, shingle)
+    links = verifier.passed(_by_fingerprint(rows, max_bits))
+    posted = rows.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    shared = checkpointed(posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("head")).where("rows > 1"))
+    posts = checkpointed(posted.join(shared, "key"))
+
+    def room(x: str, y: str) -> Column:
+        """Whether two sets that share the elements at these places of their prefixes first can be similar enough."""
+        most = F.least(F.col(f"n_{x}") - F.col(f"at_{x}"), F.col(f"n_{y}") - F.col(f"at_{y}"))
+        return most * (1 + similarity) >= similarity * (F.col(f"n_{x}") + F.col(f"n_{y}")) - F.lit(1e-9)
+
+    def side(live: DataFrame, x: str) -> DataFrame:
+        return live.select("key", *[F.col(c).alias(f"{name}_{x}") for c, name in (("node", "node"), ("n", "n"), ("at", "at"), ("root", "root"))])
+
+    for turn in ("head", "pivots", "rest"):
         roots = components(links)
-        live = posts.where(F.col("rows") > least).join(roots, "node", "left")
-        live = live.select("key", "run", "node", "n", "at", "rows", F.coalesce("root", "node").alias("root"))
-        mixed = live.groupBy("key", "run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        live = checkpointed(live.join(mixed.select("key", "run"), ["key", "run"], "left_semi"))
+        live = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        each = checkpointed(live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many")))
+        mixed = each.groupBy("key").agg(F.max(F.struct("many", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        mixed = checkpointed(mixed.select("key", F.col("top.root").alias("main")))
+        live = checkpointed(live.join(mixed, "key"))
         if live.isEmpty():
-            continue
-        ours = live
-        if not every:
-            ours = live.where((F.col("rows") <= whole) | (F.pmod(F.xxhash64("node"), "rows") < PIVOTS))
-        ours = ours.select("key", "run", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("root").alias("root_a"))
-        theirs = live.select("key", "run", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
-        pairs = ours.join(theirs, ["key", "run"]).where((F.col("root_a") != F.col("root_b")) & room("n_a", "at_a", "n_b", "at_b"))
-        links = links.unionByName(passed(pairs.select("a", "b")))
+            break
+        if turn == "head":
+            pairs = live.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        else:
+            ours = live.where("root <> main")
+            if turn == "pivots":
+                ours = live.where(F.pmod(F.xxhash64("node"), "rows") < PIVOTS)
+            pairs = side(ours, "x").join(side(live, "y"), "key").where((F.col("root_x") != F.col("root_y")) & room("x", "y"))
+            pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+        links = links.unionByName(verifier.passed(pairs))
     return links
 
 
@@ -459,11 +483,14 @@ def keep_one(
 ) -> DataFrame:
     """One row, with all its columns, of each group of near duplicates.
 
-    Rows are near duplicates when their shingle sets have at least this Jaccard similarity. Candidates come from
-    prefixes of the sets, which miss no such pair; the exact similarity of the sets decides. Rows that repeat id and
-    text stay or go together; wordless texts have no shingles and always stay.
+    Rows are near duplicates when their shingle sets have at least this Jaccard similarity. Candidates come from the
+    Gray-order index over their fingerprints, then from prefixes of the sets; the exact similarity of the sets decides.
+    Rows that repeat id and text stay or go together; null, empty and wordless texts have no shingles and always stay;
+    a text with fewer words than a shingle is one shingle; an empty table gives an empty result; extra columns may have
+    any name.
     """
-    node = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    marked = df.withColumn("node", node)
-    gone = components(similar_links(marked, similarity, shingle, text_col)).select("node")
-    return marked.join(gone, "node", "left_anti").select(*[F.col(c) for c in df.columns])
+    node = fresh_name("node")
+    marked = df.withColumn(node, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    texts = marked.select(F.col(node).alias("node"), F.col(text_col).alias("text"))
+    gone = checkpointed(components(similar_links(texts, similarity, shingle)).select(F.col("node").alias(node)))
+    return marked.join(_small(gone), node, "left_anti").drop(node)
