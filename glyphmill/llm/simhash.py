@@ -432,8 +432,8 @@ def _by_fingerprint(rows: DataFrame, max_bits: int) -> DataFrame:
     return same.union(linked.join(by_fp, "fp").select("a", F.col("least").alias("b")))
 
 
-def similar_links(texts: DataFrame, similarity: float, shingle: int, max_bits: int = 4) -> DataFrame:
-    """``a, b``: pairs of nodes of at least this similarity, enough to connect all that are linked by such pairs.
+def similar_roots(texts: DataFrame, similarity: float, shingle: int, max_bits: int = 4) -> DataFrame:
+    """``node, root`` of the components that pairs of at least this similarity make, roots themselves left out.
 
     The index over fingerprints gives the first candidates, which join the great mass of near copies. Its limit in bits
     is too tight for pairs close to the similarity, so an exact search follows: every pair that shares a shingle of both
@@ -444,7 +444,7 @@ def similar_links(texts: DataFrame, similarity: float, shingle: int, max_bits: i
     """
     rows = checkpointed(prints(texts, similarity, shingle).dropDuplicates(["node"]))
     verifier = _Verifier(texts, rows, similarity, shingle)
-    links = verifier.passed(_by_fingerprint(rows, max_bits))
+    roots = components(verifier.passed(_by_fingerprint(rows, max_bits)))
     posted = rows.select("node", "n", F.posexplode("keys").alias("at", "key"))
     shared = checkpointed(posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("head")).where("rows > 1"))
     posts = checkpointed(posted.join(shared, "key"))
@@ -458,7 +458,6 @@ def similar_links(texts: DataFrame, similarity: float, shingle: int, max_bits: i
         return live.select("key", *[F.col(c).alias(f"{name}_{x}") for c, name in (("node", "node"), ("n", "n"), ("at", "at"), ("root", "root"))])
 
     for turn in ("head", "pivots", "rest"):
-        roots = components(links)
         live = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         each = checkpointed(live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many")))
         mixed = each.groupBy("key").agg(F.max(F.struct("many", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
@@ -474,8 +473,10 @@ def similar_links(texts: DataFrame, similarity: float, shingle: int, max_bits: i
                 ours = live.where(F.pmod(F.xxhash64("node"), "rows") < PIVOTS)
             pairs = side(ours, "x").join(side(live, "y"), "key").where((F.col("root_x") != F.col("root_y")) & room("x", "y"))
             pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-        links = links.unionByName(verifier.passed(pairs))
-    return links
+        new = verifier.passed(pairs)
+        if not new.isEmpty():  # what is joined already takes part as stars, so a few rounds do
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+    return roots
 
 
 def keep_one(
@@ -492,5 +493,5 @@ def keep_one(
     node = fresh_name("node")
     marked = df.withColumn(node, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
     texts = marked.select(F.col(node).alias("node"), F.col(text_col).alias("text"))
-    gone = checkpointed(components(similar_links(texts, similarity, shingle)).select(F.col("node").alias(node)))
+    gone = checkpointed(similar_roots(texts, similarity, shingle).select(F.col("node").alias(node)))
     return marked.join(_small(gone), node, "left_anti").drop(node)

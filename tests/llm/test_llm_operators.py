@@ -243,7 +243,9 @@ def test_keep_one_finds_block_edits_just_above_the_similarity(spark):
     _kept_of_each(spark, texts, want)
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("local", [200_000, 40])
+def test_components_of_a_long_path_and_a_star(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL", local)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 60)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 100 for i in range(101, 161)}, **{i: 0 for i in range(1, 60)}}
