@@ -18,7 +18,7 @@ hashes as a whole; repeated rows share a component; a null id is never a compone
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -301,11 +301,13 @@ def near_duplicates(df: DataFrame, shingle: int = 4, max_bits: int = 4, id_col:
 #: Shingles taken as common, from a sample of the rows: they come last in the order of prefixes. This bounds a
 #: broadcast and changes only how many candidates there are, not what is found.
 COMMON, SAMPLE, COMMON_LEAST = 50_000, 16, 3
-#: Where the rows of a shingle are in several components, this many of them meet all of it before the rest does.
-PIVOTS = 16
+#: Rows of a shingle that meet each other directly; where there are more, they meet by what sets them off from a center.
+DIRECT = 64
+#: Columns of posts that tell whether two of them leave room for enough others.
+LENGTHS = ("n", "at", "away")
 #: Words of 64 bits in a long fingerprint. Its first word goes through the Gray-order index.
 LONG, FEW = 4, 32
-#: Sets of nodes of up to so many rows (8 bytes each) are sent to all executors; larger ones are joined by shuffling.
+#: Tables of nodes, roots or keys of up to so many rows (two or three longs each) are sent to all executors; larger ones are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -345,10 +347,18 @@ def _common(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def prints(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def _by_rank(hashes: np.ndarray, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of some hashes that are not common, as they come, and the common ones by rising count."""
+    if not len(known):
+        return hashes, hashes[:0]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    hit = known[at] == hashes
+    return hashes[~hit], hashes[hit][np.argsort(rank[at[hit]], kind="stable")]
+
+
+def prints(texts: DataFrame, similarity: float, shingle: int, common: np.ndarray) -> DataFrame:
     """Of ``node, text``: ``node, n, fp array<bigint>, keys array<bigint>``: how many distinct shingles, the long
     fingerprint, and the prefix of the shingles' hashes, common ones last. Wordless texts have no row."""
-    common = _common(texts, shingle)
     order = np.argsort(common, kind="stable")
     load = on_workers(texts.sparkSession, (common[order], order), lambda x: (WordHashes(shingle), *x))
 
@@ -356,13 +366,10 @@ def prints(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
         hashes, known, rank = load()
         out: dict[str, list] = {"node": [], "n": [], "fp": [], "keys": []}
         for node, t in zip(nodes, texts, strict=True):
-            own = first = np.unique(hashes(words(t)))
+            own = np.unique(hashes(words(t)))
             if not len(own):
                 continue
-            if len(known):
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                hit = known[at] == own
-                first = np.concatenate((own[~hit], own[hit][np.argsort(rank[at[hit]], kind="stable")]))
+            first = np.concatenate(_by_rank(own, known, rank))
             out["node"].append(node)
             out["n"].append(len(own))
             out["fp"].append(long_fingerprint(own))
@@ -382,6 +389,40 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return map_batches(texts, run, ["node", "text"], "node bigint, parts array<bigint>")
 
 
+def residuals(pairs: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
+    """Of ``node, center, parts, parts_center``: ``node, center, n, away, near, keys array<bigint>``: the set's size, the
+    size of its symmetric difference with the center's set, whether both are near duplicates, and the difference's first
+    hashes.
+
+    Of two sets x and y, what sets x and y apart is what sets their differences with the center apart: |x ^ y| =
+    |dx| + |dy| - 2 |dx & dy|. So near duplicates share so many hashes of both differences, and the first of them lies
+    among the first (1 - s) / s * n + 1 in any one order of a center's hashes. If they need not share any, both are near
+    duplicates of the center. The order puts first what few differences hold: hashes that are not common and not the
+    center's, then common ones of the center, from the most common on; last come common ones that the center lacks, then
+    what only it has.
+    """
+    order = np.argsort(common, kind="stable")
+    load = on_workers(pairs.sparkSession, (common[order], order), lambda x: x)
+
+    def run(nodes: list, centers: list, sets: list, middles: list) -> dict[str, list]:
+        known, rank = load()
+        out: dict[str, list] = {"node": nodes, "center": centers, "n": [], "away": [], "near": [], "keys": []}
+        for x, c in zip(sets, middles, strict=True):
+            own, mid = np.array(x, np.int64).view(np.uint64), np.array(c, np.int64).view(np.uint64)
+            more, often_more = _by_rank(np.setdiff1d(own, mid, assume_unique=True), known, rank)
+            less, often_less = _by_rank(np.setdiff1d(mid, own, assume_unique=True), known, rank)
+            first = np.concatenate((more, often_less[::-1], often_more, less))
+            both = len(own) - len(more) - len(often_more)
+            out["n"].append(len(own))
+            out["away"].append(len(first))
+            out["near"].append(both >= similarity * (len(own) + len(mid) - both) - 1e-9)
+            out["keys"].append(first[: math.floor(len(own) * (1 - similarity) / similarity + 1e-9) + 1])
+        return out | {"keys": _lists(out["keys"])}
+
+    schema = "node bigint, center bigint, n int, away int, near boolean, keys array<bigint>"
+    return map_batches(pairs, run, ["node", "center", "parts", "parts_center"], schema)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
     flat = np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)
@@ -389,7 +430,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _small(nodes: DataFrame) -> DataFrame:
-    """The (checkpointed) nodes, marked for sending to all executors where their count allows it."""
+    """The (checkpointed) rows, marked for sending to all executors where their count allows it."""
     return F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
 
 
@@ -411,15 +452,19 @@ class _Verifier:
         fits = F.least("n_a", "n_b") >= self.similarity * F.greatest("n_a", "n_b") - F.lit(1e-9)
         like = (apart <= most_bits(self.similarity)) | (F.least("n_a", "n_b") < FEW)  # few shingles make coarse bits
         pairs = checkpointed(pairs.where(fits & like).select("a", "b"))
-        nodes = checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        own = self.texts.join(_small(nodes), "node", "left_semi").dropDuplicates(["node"])
-        sets = checkpointed(shingle_sets(own, self.shingle))
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}")), side)
         both = F.size(F.array_intersect("parts_a", "parts_b"))
         near = both >= self.similarity * (F.size("parts_a") + F.size("parts_b") - both) - F.lit(1e-9)
         return checkpointed(pairs.where(near).select("a", "b"))
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """``node, parts`` of some nodes."""
+        nodes = checkpointed(nodes.distinct())
+        own = self.texts.join(_small(nodes), "node", "left_semi").dropDuplicates(["node"])
+        return checkpointed(shingle_sets(own, self.shingle))
+
 
 def _by_fingerprint(rows: DataFrame, max_bits: int) -> DataFrame:
     """``a, b``: candidates of the Gray-order index over the first words of the fingerprints: of rows with one
@@ -438,45 +483,87 @@ def similar_roots(texts: DataFrame, similarity: float, shingle: int, max_bits: i
     The index over fingerprints gives the first candidates, which join the great mass of near copies. Its limit in bits
     is too tight for pairs close to the similarity, so an exact search follows: every pair that shares a shingle of both
     prefixes, at places that leave room for enough others, is a candidate too. One is left out only once its ends are
-    joined by pairs that have passed the exact test: the rows of a shingle are tested with its least node, then, where
-    their components still differ, with some of them; at last every row outside the shingle's largest component meets
-    all rows of other components.
+    joined by pairs that have passed the exact test: the rows of a shingle are tested with its least node; then, where
+    their components still differ, every row outside the shingle's largest component meets all rows of other components.
+    Rows of a shingle that many have are variants of one text, most of which share most of their shingles and are still
+    not similar enough; they are posted anew by their ``residuals``, with the root of the largest component as center.
     """
-    rows = checkpointed(prints(texts, similarity, shingle).dropDuplicates(["node"]))
+    common = _common(texts, shingle)
+    rows = checkpointed(prints(texts, similarity, shingle, common).dropDuplicates(["node"]))
     verifier = _Verifier(texts, rows, similarity, shingle)
     roots = components(verifier.passed(_by_fingerprint(rows, max_bits)))
-    posted = rows.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    shared = checkpointed(posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("head")).where("rows > 1"))
-    posts = checkpointed(posted.join(shared, "key"))
 
-    def room(x: str, y: str) -> Column:
+    def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
+        own = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+        return df.join(_small(own), node, "left").withColumn(root, F.coalesce(root, node))
+
+    def joined(new: DataFrame) -> DataFrame:
+        """Roots after some more pairs; what is joined already takes part as stars, so a few rounds do."""
+        return roots if new.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+
+    def shared(posts: DataFrame, key: list[str]) -> DataFrame:
+        """Posts whose key others have too, with the number of their rows."""
+        keys = checkpointed(posts.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+        return checkpointed(posts.join(keys, key))
+
+    def mixed(posts: DataFrame, key: list[str]) -> DataFrame:
+        """Posts of keys whose rows are in several components, each with its root and that of the largest."""
+        live = rooted(posts.drop("root", "main"), "node", "root")
+        each = live.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("many"))
+        main = each.groupBy(*key).agg(F.max(F.struct("many", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        return checkpointed(live.join(_small(checkpointed(main.select(*key, F.col("top.root").alias("main")))), key))
+
+    def with_heads(live: DataFrame, key: list[str], first: str, room: Callable[[str, str], Column]) -> DataFrame:
+        """``a, b``: the rows of each key with its head, the least by a column."""
+        told = [first, *[c for c in live.columns if c in ("node", "root", *LENGTHS) and c != first]]
+        heads = live.groupBy(*key).agg(F.min(F.struct(*told)).alias("y")).select(*key, *[F.col(f"y.{c}").alias(f"{c}_y") for c in told])
+        pairs = live.select(*key, *[F.col(c).alias(f"{c}_x") for c in told]).join(heads, key)
+        return pairs.where((F.col("root_x") != F.col("root_y")) & room("x", "y")).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+    def with_all(live: DataFrame, key: list[str], room: Callable[[str, str], Column]) -> DataFrame:
+        """``a, b``: rows outside the main component with the key's rows of other components, each pair of a key once."""
+
+        def side(df: DataFrame, x: str) -> DataFrame:
+            return df.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in live.columns if c in ("node", "root", "main", *LENGTHS)])
+
+        once = (F.col("root_y") == F.col("main_x")) | (F.col("node_x") < F.col("node_y"))
+        apart = F.col("root_x") != F.col("root_y")
+        pairs = side(live.where("root <> main"), "x").join(side(live, "y"), key).where(apart & once & room("x", "y"))
+        return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+    def set_room(x: str, y: str) -> Column:
         """Whether two sets that share the elements at these places of their prefixes first can be similar enough."""
         most = F.least(F.col(f"n_{x}") - F.col(f"at_{x}"), F.col(f"n_{y}") - F.col(f"at_{y}"))
         return most * (1 + similarity) >= similarity * (F.col(f"n_{x}") + F.col(f"n_{y}")) - F.lit(1e-9)
 
-    def side(live: DataFrame, x: str) -> DataFrame:
-        return live.select("key", *[F.col(c).alias(f"{name}_{x}") for c, name in (("node", "node"), ("n", "n"), ("at", "at"), ("root", "root"))])
-
-    for turn in ("head", "pivots", "rest"):
-        live = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        each = checkpointed(live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many")))
-        mixed = each.groupBy("key").agg(F.max(F.struct("many", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        mixed = checkpointed(mixed.select("key", F.col("top.root").alias("main")))
-        live = checkpointed(live.join(mixed, "key"))
-        if live.isEmpty():
-            break
-        if turn == "head":
-            pairs = live.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-        else:
-            ours = live.where("root <> main")
-            if turn == "pivots":
-                ours = live.where(F.pmod(F.xxhash64("node"), "rows") < PIVOTS)
-            pairs = side(ours, "x").join(side(live, "y"), "key").where((F.col("root_x") != F.col("root_y")) & room("x", "y"))
-            pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-        new = verifier.passed(pairs)
-        if not new.isEmpty():  # what is joined already takes part as stars, so a few rounds do
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
-    return roots
+    def gap_room(x: str, y: str) -> Column:
+        """The same of the places in what sets them off from a center."""
+        most = F.least(F.col(f"away_{x}") - F.col(f"at_{x}"), F.col(f"away_{y}") - F.col(f"at_{y}"))
+        apart = (F.col(f"n_{x}") + F.col(f"n_{y}")) * ((1 - similarity) / (1 + similarity))
+        return most * 2 >= F.col(f"away_{x}") + F.col(f"away_{y}") - apart - F.lit(1e-6)
+
+    own = ["key"]
+    live = mixed(shared(rows.select("node", "n", F.posexplode("keys").alias("at", "key")), own), own)
+    roots = joined(verifier.passed(with_heads(live, own, "node", set_room)))
+    live = mixed(live.where("rows > 2"), own)  # of two rows one is the head
+    if live.isEmpty():
+        return roots
+
+    around = checkpointed(live.where((F.col("rows") > DIRECT) & (F.col("node") != F.col("main"))).select("node", F.col("main").alias("center")).distinct())
+    middles = verifier.sets(around.select(F.col("center").alias("node"))).select(F.col("node").alias("center"), F.col("parts").alias("parts_center"))
+    if (middles.agg(F.sum(F.size("parts_center"))).first()[0] or 0) <= BROADCAST_ROWS:
+        middles = F.broadcast(middles)
+    centers = _small(checkpointed(around.groupBy("node").agg(F.collect_list("center").alias("centers"))))
+    sets = shingle_sets(texts.join(centers, "node", "left_semi"), shingle)
+    whole = sets.join(centers, "node").select("node", "parts", F.explode("centers").alias("center")).join(middles, "center")
+    gaps = checkpointed(residuals(whole, similarity, common).dropDuplicates(["node", "center"]))  # of repeated rows
+    roots = joined(gaps.where("near").select(F.col("node").alias("a"), F.col("center").alias("b")))
+
+    off = ["center", "key"]
+    gaps = mixed(shared(gaps.select("center", "node", "n", "away", F.posexplode("keys").alias("at", "key")), off), off)
+    roots = joined(verifier.passed(with_heads(gaps, off, "away", gap_room)))
+    gaps, live = mixed(gaps.where("rows > 2"), off), mixed(live.where(F.col("rows") <= DIRECT), own)
+    return joined(verifier.passed(with_all(live, own, set_room).union(with_all(gaps, off, gap_room))))
 
 
 def keep_one(

@@ -243,6 +243,25 @@ def test_keep_one_finds_block_edits_just_above_the_similarity(spark):
     _kept_of_each(spark, texts, want)
 
 
+def test_keep_one_tests_few_pairs_of_many_variants(spark, monkeypatch):
+    """Most pairs of many variants of one text share most shingles and fail: they are told apart before any pair is made."""
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(200)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = {}
+    for i in range(500):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randint(3, 7)):
+            w[k] = rng.choice(words)
+        texts[i] = " ".join(w)
+    tested, passed = [], simhash._Verifier.passed
+    monkeypatch.setattr(simhash._Verifier, "passed", lambda self, pairs: (tested.append(pairs.distinct().count()), passed(self, pairs))[1])
+    want = _jaccard_components(texts)
+    assert 100 < len(set(want.values())) < 500
+    _kept_of_each(spark, texts, want)
+    assert sum(tested) < 10 * len(texts), tested
+
+
 @pytest.mark.parametrize("local", [200_000, 40])
 def test_components_of_a_long_path_and_a_star(spark, monkeypatch, local):
     monkeypatch.setattr(components, "LOCAL", local)
