@@ -134,19 +134,19 @@ def _folder(spark: SparkSession) -> str:
 @query(f"WITH {BASE} SELECT doc_id, CAST(sum(n) AS BIGINT) AS errors FROM errs GROUP BY doc_id")
 def stream_misspellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents read as a stream, checked against the static dictionary, written, and counted."""
-    words, folder = dictionary(spark, sf_dir), _folder(spark)
-    schema = docs(spark, sf_dir).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
-    stream = ST.read(spark, sf_dir, schema, pattern="documents.parquet")
-    ST.drain(ST.misspellings(stream, words), f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out").groupBy("doc_id").agg(F.count(F.lit(1)).alias("errors"))
+    folder = _folder(spark)
+    dictionary(spark, sf_dir).write.parquet(f"{folder}/words")  # derived once, not for each batch
+    stream = ST.read_table(spark, f"{sf_dir}/documents.parquet", docs(spark, sf_dir).schema)
+    found = ST.misspellings(stream, spark.read.parquet(f"{folder}/words"))
+    ST.drain(found, f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(found.schema).parquet(f"{folder}/out").groupBy("doc_id").agg(F.count(F.lit(1)).alias("errors"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts by event type with a watermark, the last windows included."""
     folder = _folder(spark)
-    schema = table(spark, sf_dir, "events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
-    stream = ST.read(spark, sf_dir, schema, pattern="events.parquet")
+    stream = ST.read_table(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
     return ST.drain_updates(ST.event_windows(stream), f"{folder}/out", f"{folder}/state", ["start", "event_type"])
 
 

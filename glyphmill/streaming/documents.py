@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from glyphmill.functions import tokens as T
 
@@ -14,6 +15,12 @@ def read(spark: SparkSession, path: str, schema: str, files: int = 100, pattern:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", pattern).parquet(path)
 
 
+def read_table(spark: SparkSession, path: str, schema: StructType, files: int = 100) -> DataFrame:
+    """A table as a stream, be it one Parquet file or a folder of files of any names."""
+    one = f"{path[:-1]}[{path[-1]}]"  # a stream takes no single file by its plain name, but what a pattern finds
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(one)
+
+
 def misspellings(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``doc_id, lang, word`` of the words that a static dictionary lacks; the stream keeps no state."""
     words = docs.select("doc_id", "lang", F.explode(F.transform(T.tokens(F.col("text")), F.lower)).alias("word"))
