@@ -29,6 +29,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """From now on the shuffle files of a query go as soon as it ends. By default they stay until the driver happens to
+    collect its garbage, which it does no more often over a large input: there those of all steps lie on disk together."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; where it is unset, as in tests, one in the warehouse, which the
     driver and the executors share too."""

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import checkpointed, fresh_name, map_batches, on_workers
+from glyphmill.llm.common import checkpointed, drop_shuffles, fresh_name, map_batches, on_workers
 from glyphmill.llm.components import components
 from glyphmill.llm.decontam import WordHashes
 
@@ -577,6 +577,7 @@ def keep_one(
     a text with fewer words than a shingle is one shingle; an empty table gives an empty result; extra columns may have
     any name.
     """
+    drop_shuffles(df.sparkSession)  # each of the many steps ends in a checkpoint
     node = fresh_name("node")
     marked = df.withColumn(node, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
     texts = marked.select(F.col(node).alias("node"), F.col(text_col).alias("text"))
