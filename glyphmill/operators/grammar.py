@@ -5,6 +5,8 @@ Results are rows ``doc_id, rule_id, pos, context, suggestion, message``.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -252,6 +254,114 @@ MATCHERS = {
 }
 
 
+class _Marks(dict):
+    """Of each distinct token, once: the matchers of rules that may begin there, whether a sentence may begin after it
+    and whether it is a negative; None for most tokens. A matcher gives, of all tokens and a place, the context,
+    suggestion and message, or None."""
+
+    MOST = 1_000_000
+
+    def __init__(self, rules: tuple[Rule, ...]) -> None:
+        self.split = {r.id: r.params["phrase"].split() for r in rules if r.kind == "phrase"}
+        self.heads: dict[str, list[Rule]] = {}
+        for r in rules:
+            p = r.params
+            first = {"vowel": ("a", "an"), "there": ("there",), "contraction": (p.get("target"),), "words": p.get("words", ()), "phrase": self.split.get(r.id, [])[:1]}
+            for low in first.get(r.kind, ()):
+                self.heads.setdefault(low, []).append(r)
+
+    def __missing__(self, tok: str) -> tuple | None:
+        if len(self) >= self.MOST:
+            self.clear()
+        low = tok.lower()
+        begun = tuple((r.id, self._matcher(r, low)) for r in self.heads.get(low, ()))
+        stop, negates = tok[-1:] in (".", "!", "?"), low in NEGATIVES or low.endswith("n't")
+        self[tok] = out = (begun, stop, negates) if begun or stop or negates else None
+        return out
+
+    def _matcher(self, r: Rule, low: str):
+        p = r.params
+        if r.kind == "vowel":
+            return lambda t, i: _article(t[i], t[i + 1]) if i + 1 < len(t) else None
+        if r.kind == "there":
+            return lambda t, i: (_pair(t, i), r.suggestion, r.message) if i + 1 < len(t) and (w := t[i + 1].lower()) in POSSESSED and w not in LOCATION_VERBS else None
+        if r.kind == "contraction":
+            return lambda t, i: (_pair(t, i), r.suggestion, r.message) if i + 1 < len(t) and t[i + 1].lower() in p["words"] else None
+        if r.kind == "phrase":
+            words, n = self.split[r.id], len(self.split[r.id])
+            return lambda t, i: (" ".join(t[i : i + n]), r.suggestion, r.message) if [x.lower() for x in t[i : i + n]] == words else None
+        return lambda t, i: (f'"{t[i]}"', p["words"][low], r.message) if p["words"][low] != t[i] else None
+
+
+def _pair(toks: list[str], i: int) -> str:
+    return f'"{toks[i]} {toks[i + 1]}"'
+
+
+def _article(tok: str, word: str) -> tuple[str, str, str] | None:
+    low = word.lower()
+    right = "a" if low in CONSONANT_SOUND else "an" if low in VOWEL_SOUND or low[:1] in VOWELS else "a"
+    return (f"{tok} {word}", right, f'Use "{right}" before "{word}"') if tok.lower() != right else None
+
+
+def _capital(tok: str) -> str | None:
+    """The token as a sentence should begin, where it begins with a small letter."""
+    c = tok[0]
+    if c != c.lower() or c == c.upper() or not unicodedata.category(c).startswith("L"):
+        return None
+    return c.upper() + tok[1:] if c.isascii() else tok
+
+
+def _negatives(toks: list[str], at: list[re.Match], found: list[int], rule: Rule) -> Iterator[tuple[int, str]]:
+    low = [t.lower() for t in toks]
+    regions = [r for text in rule.params["exceptions"] if text.partition("...")[0].split()[0] in low for r in _regions(low, text)]
+    found = [i for i in found if not any(a <= i < b for a, b in regions)]
+    for i, j in zip(found, found[1:], strict=False):
+        if at[j].start() - at[i].start() <= rule.params["distance"]:
+            yield i, " ".join(toks[i : j + 1])
+
+
+def walked(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """All rules over texts without tags, in one pass: each text is cut into tokens once, and only tokens that some rule
+    begins with are looked at."""
+    find = re.compile(T.WHITESPACE, re.ASCII)
+    sentences, doubles = [r for r in rules if r.kind == "sentence"], [r for r in rules if r.kind == "negative"]
+
+    def hits(text: str, marks: _Marks) -> Iterator[tuple]:
+        at = list(find.finditer(text))
+        toks = [m[0] for m in at]
+        negated, begins = [], 0 if toks else None
+        for i, mark in enumerate(map(marks.__getitem__, toks)):
+            if begins == i and (good := _capital(toks[i])):
+                for r in sentences:
+                    yield r.id, at[i].start(), f'"{toks[i]}"', good, r.message
+            if mark is None:
+                continue
+            for name, match in mark[0]:
+                if found := match(toks, i):
+                    yield name, at[i].start(), *found
+            if mark[1]:
+                begins = i + 1
+            if mark[2]:
+                negated.append(i)
+        if len(negated) > 1:
+            for r in doubles:
+                for i, context in _negatives(toks, at, negated, r):
+                    yield r.id, at[i].start(), context, r.suggestion, r.message
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = _Marks(rules)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                rows = [(n, *hit) for n, text in enumerate(part.column(1).to_pylist()) for hit in hits(text or "", marks)]
+                where, name, pos, *texts = zip(*rows, strict=True) if rows else ((),) * 6
+                columns = [part.column(0).take(pa.array(where, pa.int64())), pa.array(name, pa.string()), pa.array(pos, pa.int64()), *(pa.array(x, pa.string()) for x in texts)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rule_id", "pos", "context", "suggestion", "message"])
+
+    key = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, rule_id string, pos bigint, context string, suggestion string, message string")
+
+
 def prepare(docs: DataFrame, tags: Column | None = None) -> DataFrame:
     """``doc_id, toks, gaps, tags`` from texts; tags, an array beside the tokens, where a tagger gave some."""
     rows = T.with_arrays(docs)
@@ -260,7 +370,9 @@ def prepare(docs: DataFrame, tags: Column | None = None) -> DataFrame:
 
 
 def check(docs: DataFrame, rules: tuple[Rule, ...] = ENGLISH, tags: Column | None = None) -> DataFrame:
-    """All rules over all documents."""
+    """All rules over all documents; without tags in one pass."""
+    if tags is None and all(r.kind in MATCHERS or r.kind == "phrase" for r in rules):
+        return walked(docs, rules)
     rows = prepare(docs, tags)
     parts = [MATCHERS[r.kind](rows, r) for r in rules if r.kind != "phrase"]
     if fixed := [r for r in rules if r.kind == "phrase"]:
